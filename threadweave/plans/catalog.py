@@ -1,0 +1,7 @@
+"""Every named query of the core library with its SQL equivalent."""
+
+from __future__ import annotations
+
+FLAGSHIP = "int_sums"
+QUERIES: dict = {}
+ORACLES: dict = {}
