@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,3 +33,16 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def reach(spark: SparkSession) -> SparkSession:
+    """Let Python workers that share this file system import the package from where the driver has it."""
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))
+    return spark
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a data directory."""
+    return reach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
