@@ -136,7 +136,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         far = label != np.arange(len(label))
         return pa.table({"src": ids.filter(pa.array(far)), "dst": ids.take(pa.array(label[far]))})
 
-    pairs = filled.groupBy("bucket").applyInArrow(link, f"src {kind}, dst {kind}").distinct()
+    pairs = cut(filled.groupBy("bucket").applyInArrow(link, f"src {kind}, dst {kind}").distinct())
     groups = connected_components(pairs)
     owners = reps.where("n > 1").select("rep").unionByName(groups.select(F.col("node").alias("rep"))).distinct()
     rooted = owners.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("keeper_id"))

@@ -16,7 +16,7 @@ BITS = 18  #: the text is hashed to 2**18 weights
 MAX_LABELLED = 20_000  #: labelled rows that the fit uses at most, those of the least hash of the id
 EPOCHS, BATCH, RATE, L1 = 12, 256, 0.1, 2e-4
 LEAST_ROWS, LEAST_Z = 3, 3.5  #: labelled rows that must have a feature, and standard errors that their mean grade must be off, for it to get a weight
-TAIL = 0.5  #: least probability of the best grade for a document to be selected
+TAIL = 0.4  #: least probability of the best grade for a document to be selected
 
 _codes = np.arange(256)
 _SPACE = ~wh.NOT_SPACE

@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from threadweave.llm import chat, minmax, packing, pii, urlfilter
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from threadweave.llm import bpe, chat, minmax, multiindex, packing, pii, quality, topk, urlfilter
+from threadweave.session import table
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,11 +14,23 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and whether decoding them gives its text again."""
+    coded = bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    decoded = bpe.decode_documents(coded)
+    return decoded.select("doc_id", F.size("tokens").alias("n_tokens"), "tokens", F.col("decoded").eqNullSafe(F.col("text")).alias("intact"))
+
+
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and decision for the URL of every page."""
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark passage."""
+    return topk.top_k(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bin, slot and offset of every piece of every document."""
     return packing.harmonic_pack(table(spark, sf_dir, "documents"))
@@ -32,19 +42,40 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise_docs(docs, count="n_values")
 
 
+def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades of the labelled documents: 0 poor, 1 good but toxic, 2 good."""
+    return table(spark, sf_dir, "labels").select("doc_id", quality.grade(F.col("quality"), F.col("toxic")).alias("grade"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier selects, with expected grade and tail probability."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.select_documents(docs, rated(spark, sf_dir)).drop("text")
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation with repaired roles, rendered."""
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest neighbours of every embedding."""
+    return multiindex.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
+    "op2_bpe": op2_bpe,
     "op3_urls": op3_urls,
+    "op4_topk": op4_topk,
     "op5_packing": op5_packing,
     "op6_pii": op6_pii,
+    "op7_quality": op7_quality,
     "op8_chat": op8_chat,
+    "op9_neighbours": op9_neighbours,
 }
 ORACLES = {
     "op3_urls": urlfilter.urlfilter_sql(),
+    "op4_topk": topk.topk_sql(),
     "op5_packing": packing.packing_sql(),
 }
