@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -256,14 +257,12 @@ def decode_documents(docs: DataFrame, tokens_col: str = "tokens", out: str = "de
     shipped = docs.sparkSession.sparkContext.broadcast(open(tokenizer, encoding="utf-8").read())
 
     @F.pandas_udf("string")
-    def decode(batches: Iterator):
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         labels = _compiled(shipped.value).automaton.labels
         sizes = np.array([len(x) for x in labels])
         starts = np.concatenate([[0], np.cumsum(sizes)])
         text = np.frombuffer(b"".join(labels), np.uint8)
 
-        import pandas as pd
-
         def one(ids) -> str | None:
             if ids is None:
                 return None

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -162,9 +163,7 @@ def score_documents(docs: DataFrame, model: OrdinalModel, text_col: str = "text"
     shipped = docs.sparkSession.sparkContext.broadcast((model.weights, model.cuts))
 
     @F.pandas_udf("e double, p double")
-    def rate(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def rate(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         weights, cuts = shipped.value
         held = OrdinalModel(weights, cuts)
         for texts in batches:
