@@ -2,13 +2,67 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from threadweave.llm import minmax, packing, pii, quality, repeats
+from threadweave.llm.queries import rated
+from threadweave.session import reach, table
+
+
+def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal classifier, fitted on the labels, selects."""
+    reach(spark)
+    return quality.select_documents(docs, rated(spark, sf_dir)).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    reach(spark)
+    return minmax.drop_near_duplicates(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 45 words or more stay where they occur first; ``n_chars`` follows the text."""
+    reach(spark)
+    return _measured(repeats.drop_repeats(docs), docs)
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pseudonyms for personal data; ``n_chars`` follows the text."""
+    reach(spark)
+    return _measured(pii.pseudonymise_docs(docs), docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its bin, its place in it, and its text."""
+    reach(spark)
+    placed = packing.harmonic_pack(docs)
+    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).dropDuplicates(["_id"])
+    piece = F.substr("_text", (F.col("start") + 1).cast("int"), F.col("length").cast("int"))
+    return placed.join(texts, F.col("doc_id") == F.col("_id")).withColumn("text", piece).drop("_id", "_text")
+
+
+def _measured(df: DataFrame, like: DataFrame) -> DataFrame:
+    if "n_chars" not in like.columns:
+        return df
+    return df.withColumn("n_chars", F.length("text").cast(dict(like.dtypes)["n_chars"]))
+
+
+STAGES = [
+    ("quality", select_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeats", cut_repeats),
+    ("personal_data", replace_personal_data),
+    ("packing", pack),
+]
+#: Hashing, fitted weights, keyed permutations and suffix order are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

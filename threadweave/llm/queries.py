@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadweave.llm import bpe, chat, minmax, multiindex, packing, pii, quality, topk, urlfilter
+from threadweave.llm import bpe, chat, minmax, multiindex, packing, pii, quality, repeats, topk, urlfilter
 from threadweave.session import table
 
 
@@ -63,6 +63,11 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of every maximal repeat of 45 words or more in documents."""
+    return repeats.find_repeats(table(spark, sf_dir, "documents")).drop("key")
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_bpe": op2_bpe,
@@ -73,6 +78,7 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_chat": op8_chat,
     "op9_neighbours": op9_neighbours,
+    "op10_repeats": op10_repeats,
 }
 ORACLES = {
     "op3_urls": urlfilter.urlfilter_sql(),
