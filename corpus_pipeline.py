@@ -37,10 +37,11 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its bin, its place in it, and its text."""
     reach(spark)
-    placed = packing.harmonic_pack(docs)
-    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).dropDuplicates(["_id"])
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    placed = packing.harmonic_pack(keyed, keep=("_key",))
+    texts = keyed.select("_key", F.col("text").alias("_text")).dropDuplicates(["_key"])
     piece = F.substr("_text", (F.col("start") + 1).cast("int"), F.col("length").cast("int"))
-    return placed.join(texts, F.col("doc_id") == F.col("_id")).withColumn("text", piece).drop("_id", "_text")
+    return placed.join(texts, "_key").withColumn("text", piece).drop("_key", "_text")
 
 
 def _measured(df: DataFrame, like: DataFrame) -> DataFrame:

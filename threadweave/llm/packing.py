@@ -26,7 +26,7 @@ def pieces(docs: DataFrame, id_col: str, length: Column, capacity: int, keep: tu
     return cut.select("doc_id", "piece", start.alias("start"), F.least(F.lit(capacity).cast("bigint"), F.col("_len") - start).alias("length"), *[f"_k_{c}" for c in keep])
 
 
-def harmonic_pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None, capacity: int = CAPACITY, shard: Column | None = None) -> DataFrame:
+def harmonic_pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None, capacity: int = CAPACITY, shard: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Place every document's pieces in bins: ``doc_id, piece, start, length, shard, size_class, bin, slot, bin_offset``.
 
     ``length`` defaults to the characters of ``text``; a column of token counts serves as well.
@@ -34,7 +34,8 @@ def harmonic_pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None
     its bins with i pieces in order of the id, without looking at any other class. ``shard``
     (default: ``id div 8192``, for whole-number ids) separates what is filled together: no bin is
     shared between shards, so shards are packed by different workers at once, and each leaves at
-    most one bin of a class unfilled. Only ids and lengths are shuffled, never texts.
+    most one bin of a class unfilled. Only ids and lengths are shuffled, never texts. ``keep``
+    names columns (keys, say) that stay with the pieces.
 
     Null and empty texts take no space and give no row; a null id counts as shard -1. Repeated
     rows are packed as often as they occur, ties in any order (such rows are the same). Texts
@@ -44,14 +45,14 @@ def harmonic_pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None
     size = F.length("text") if length is None else length
     if shard is None:
         shard = F.coalesce(F.floor(F.col("doc_id") / SHARD).cast("bigint"), F.lit(-1).cast("bigint"))
-    cut = pieces(docs, id_col, size, capacity)
+    cut = pieces(docs, id_col, size, capacity, keep)
     placed = cut.withColumn("shard", shard).withColumn("size_class", size_class(F.col("length"), capacity))
-    order = Window.partitionBy("shard", "size_class").orderBy("doc_id", "piece", "length")
+    order = Window.partitionBy("shard", "size_class").orderBy("doc_id", "piece", "length", *[f"_k_{c}" for c in keep])
     ranked = placed.withColumn("_n", F.row_number().over(order).cast("bigint") - 1)
     binned = ranked.withColumn("bin", F.floor(F.col("_n") / F.col("size_class")).cast("bigint")).withColumn("slot", F.col("_n") % F.col("size_class"))
     within = Window.partitionBy("shard", "size_class", "bin").orderBy("slot")
     return binned.withColumn("bin_offset", F.sum("length").over(within) - F.col("length")).select(
-        "doc_id", "piece", "start", "length", "shard", "size_class", "bin", "slot", "bin_offset"
+        "doc_id", "piece", "start", "length", "shard", "size_class", "bin", "slot", "bin_offset", *[F.col(f"_k_{c}").alias(c) for c in keep]
     )
 
 
