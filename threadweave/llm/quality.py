@@ -16,6 +16,7 @@ from threadweave.llm import wordhash as wh
 BITS = 18  #: the text is hashed to 2**18 weights
 MAX_LABELLED = 20_000  #: labelled rows that the fit uses at most, those of the least hash of the id
 EPOCHS, BATCH, RATE, L1 = 12, 256, 0.1, 2e-4
+STEPS = 200  #: mini-batches at least
 LEAST_ROWS, LEAST_Z = 3, 3.5  #: labelled rows that must have a feature, and standard errors that their mean grade must be off, for it to get a weight
 TAIL = 0.4  #: least probability of the best grade for a document to be selected
 
@@ -81,18 +82,19 @@ class OrdinalModel:
 
 
 def fit(ids: np.ndarray, ends: np.ndarray, grades: np.ndarray, n_grades: int, epochs: int = EPOCHS, l1: float = L1) -> OrdinalModel:
-    """Maximum likelihood by proximal AdaGrad over mini-batches with an L1 penalty, in an order fixed by a seed."""
+    """Maximum likelihood by proximal AdaGrad over mini-batches with an L1 penalty, in an order fixed by a seed, from the cuts that the grades' shares give."""
     dims = 1 << BITS
     rows_with = np.bincount(ids, minlength=dims)
     off = np.bincount(ids, np.repeat(grades - grades.mean(), np.diff(ends)), dims) if len(grades) else np.zeros(dims)
     common = (rows_with >= LEAST_ROWS) & (np.abs(off) >= LEAST_Z * max(grades.std(), 1e-9) * np.sqrt(rows_with)) if len(grades) else rows_with > 0
     w, g2 = np.zeros(dims), np.full(dims, 1e-6)
-    cuts = np.linspace(-1, 1, n_grades - 1) if n_grades > 2 else np.zeros(n_grades - 1)
+    share = np.cumsum(np.bincount(grades, minlength=n_grades) + 0.5)[:-1] / (len(grades) + 0.5 * n_grades)
+    cuts = np.log(share / (1 - share))
     c2 = np.full(n_grades - 1, 1e-6)
     edge = np.arange(n_grades + 1)
     rng = np.random.Generator(np.random.PCG64(5))
     size = np.diff(ends)
-    for _ in range(epochs if len(grades) else 0):
+    for _ in range(max(epochs, -(-STEPS // -(-len(grades) // BATCH))) if len(grades) else 0):
         order = rng.permutation(len(grades))
         for b in range(0, len(order), BATCH):
             rows = order[b : b + BATCH]
