@@ -64,8 +64,8 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every occurrence of every maximal repeat of 45 words or more in documents."""
-    return repeats.find_repeats(table(spark, sf_dir, "documents")).drop("key")
+    """The tree of all maximal repeats of 45 words or more in documents, with all occurrences."""
+    return repeats.find_repeats(table(spark, sf_dir, "documents")).drop("key", "cut")
 
 
 QUERIES = {

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from itertools import groupby
 
 import numpy as np
@@ -216,13 +217,41 @@ def owner(words: list[str], min_words: int, k: int) -> int:
     return int(windowed(wh.mix(hashed + count * np.uint64(_RUN)), k).argmin())
 
 
-def maximal_repeats(lefts: list[str], rights: list[str], min_words: int, k: int) -> Iterator[tuple[int, int, list[str], list[int]]]:
-    """(words before the anchor, words from it on, all words, occurrences) of every maximal repeat that belongs to this anchor.
+@dataclass
+class Repeat:
+    """A node: ``words`` before the anchor (``left``) and from it on (``length``), occurrences that no longer repeat has (``own``), and the nodes below."""
+
+    left: int
+    length: int
+    a: int
+    b: int
+    own: list[int]
+    below: list[Repeat]
+    first: int = -1
+    above: Repeat | None = None
+    words: list[str] = field(default_factory=list)
+
+    def nodes(self) -> Iterator[Repeat]:
+        todo = [self]
+        while todo:
+            node = todo.pop()
+            yield node
+            todo += node.below
+
+    @property
+    def size(self) -> int:
+        return self.b - self.a + 1
+
+
+def maximal_repeats(lefts: list[str], rights: list[str], age: list[int], min_words: int, k: int) -> Iterator[Repeat]:
+    """Roots of the trees of all maximal repeats that belong to this anchor.
 
     ``rights`` are the suffixes at the anchor, ``lefts`` the words before it. A repeat that
     begins o words before the anchor is a set of occurrences that agree in o words before it, so
     for every o at which some differ the suffixes that agree up to there are scanned for intervals; one whose
     members are not all preceded by one word, and so can't be longer to the left, is maximal.
+    Its occurrences are its own and those of the nodes below it, which are longer. ``first``
+    is the occurrence of the least ``age``.
     """
     w = min_words - k + 1
     right_words = {t: tokens(t) for t in set(rights)}
@@ -248,41 +277,67 @@ def maximal_repeats(lefts: list[str], rights: list[str], min_words: int, k: int)
         if part.max() < need:
             continue
         changes = np.concatenate([[0], np.cumsum(child[1:] != child[:-1])])
+        roots: list[Repeat] = []
         for length, a, b in intervals(part.tolist(), need):
             if changes[a] == changes[b]:
                 continue
-            one = members[a]
-            words = left_words[one][:o][::-1] + right_words[rights[one]][:length]
-            if owner(words, min_words, k) == o:
-                yield o, length, words, members[a : b + 1].tolist()
+            node = Repeat(o, length, a, b, [], [])
+            while roots and roots[-1].a >= a:
+                node.below.append(roots.pop())
+            begin = a
+            for x in reversed(node.below):
+                node.own += members[begin : x.a].tolist()
+                begin, x.above = x.b + 1, node
+            node.own += members[begin : b + 1].tolist()
+            node.first = min((*node.own, *(x.first for x in node.below)), key=age.__getitem__)
+            roots.append(node)
+        for root in roots:
+            before, after = left_words[root.first][:o][::-1], right_words[rights[root.first]]
+            # all below begin with the same window, so they belong to the same anchor
+            if owner(before + after[: root.length], min_words, k) == o:
+                for node in root.nodes():
+                    node.words = before + right_words[rights[node.first]][: node.length]
+                yield root
 
 
 def repeat_rows(contexts: DataFrame, min_words: int, k: int, kind: str) -> DataFrame:
-    """``(repeat_id, doc_id, key, start, end, n_words)`` for every occurrence of every maximal repeat."""
+    """Rows of ``find_repeats``, and ``cut``: where a cut from ``start`` on must end for all but first occurrences to go."""
 
     def group(ids: list, keys: list, places: list, at: list, left: list, right: list) -> Iterator[tuple]:
         distinct = {(a, b): i for i, (a, b) in enumerate(zip(keys, places))}
         rows = list(distinct.values())
+        age = [0] * len(rows)
+        for n, j in enumerate(sorted(range(len(rows)), key=lambda j: (ids[rows[j]], at[rows[j]], keys[rows[j]]))):
+            age[j] = n
         known: dict[str, list[tuple[int, int]]] = {}
-        for o, length, words, found in maximal_repeats([left[i] for i in rows], [right[i] for i in rows], min_words, k):
-            name = xxhash.xxh64_intdigest(" ".join(words).encode())
-            for j in found:
-                i = rows[j]
-                for t in (left[i], right[i]):
-                    if t not in known:
-                        known[t] = spans(t)
-                begin = at[i] - len(left[i]) + known[left[i]][-o][0] if o else at[i]
-                yield name - (1 << 64) * (name >> 63), ids[i], keys[i], begin, at[i] + known[right[i]][length - 1][1], len(words)
+
+        def place(text: str) -> list[tuple[int, int]]:
+            if text not in known:
+                known[text] = spans(text)
+            return known[text]
+
+        for root in maximal_repeats([left[i] for i in rows], [right[i] for i in rows], age, min_words, k):
+            names: dict[int, int] = {}
+            for node in root.nodes():
+                name = xxhash.xxh64_intdigest(" ".join(node.words).encode())
+                names[id(node)] = name - (1 << 64) * (name >> 63)
+                above = names[id(node.above)] if node.above else None
+                for j in node.own or [node.first]:
+                    i = rows[j]
+                    begin = at[i] - len(left[i]) + place(left[i])[-node.left][0] if node.left else at[i]
+                    cutter = node if node.own else None
+                    while cutter is not None and cutter.first == j:
+                        cutter = cutter.above
+                    cut_at = None if cutter is None else at[i] + place(right[i])[cutter.length - 1][1]
+                    yield names[id(node)], above, len(node.words), node.size, ids[i], keys[i], begin, at[i] + place(right[i])[node.length - 1][1], cut_at
 
     def flush(held: list[list]) -> pa.RecordBatch | None:
         out = list(group(*held[1:]))
         if not out:
             return None
-        cols = list(zip(*out))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(cols[0], pa.int64()), pa.array(cols[1], types[0]), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.int32())],
-            names=["repeat_id", "doc_id", "key", "start", "end", "n_words"],
-        )
+        shape = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), types[0], pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        names = ["repeat_id", "parent_id", "n_words", "n_occurrences", "doc_id", "key", "start", "end", "cut"]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), shape)], names=names)
 
     types: list = []
 
@@ -304,7 +359,8 @@ def repeat_rows(contexts: DataFrame, min_words: int, k: int, kind: str) -> DataF
         if held[0] and (made := flush(held)) is not None:
             yield made
 
-    return contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, f"repeat_id bigint, doc_id {kind}, key bigint, start int, end int, n_words int")
+    shape = f"repeat_id bigint, parent_id bigint, n_words int, n_occurrences int, doc_id {kind}, key bigint, start int, end int, cut int"
+    return contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, shape)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -313,7 +369,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
-    """``(repeat_id, doc_id, key, start, end, n_words)``: all occurrences of all maximal repeats.
+    """``(repeat_id, parent_id, n_words, n_occurrences, doc_id, key, start, end, cut)``: all maximal repeats with all occurrences.
 
     A word is a run of what isn't ASCII white space; a run of one and the same word counts as
     one word, and repeats cover whole runs (so a text of one word over and over has none). A
@@ -321,6 +377,13 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     several, and no word can be added on either side in all its occurrences. ``start`` and
     ``end`` are characters of the text, ``key`` tells rows of one id with different texts apart.
 
+    The result is the interval tree: repeats that begin with the words of a shorter one, and occur
+    in part of its places, are below it (``parent_id``). Each occurrence stands once, with the longest
+    repeat that begins there and is as long to the left; a repeat's ``n_occurrences`` are its own rows
+    and those of the repeats below it. So many near copies, which share ever shorter repeats, give
+    rows in proportion to their number and not to its square. A repeat all of whose occurrences
+    are below it has one row, its first. ``cut`` is used by ``drop_repeats``.
+
     Anchors that occur once, and those that are preceded by one and the same window wherever they
     occur (any repeat there begins before it), are left aside before any text is moved. Texts are
     compared, never hashes of them; hashes only say where to compare. Only texts with a
@@ -349,9 +412,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cut alike. Nulls and empty texts stay.
     """
     found = cut(find_repeats(docs, id_col, text_col, min_words, gram))
-    order = Window.partitionBy("repeat_id").orderBy("doc_id", "start", "key")
-    later = found.withColumn("_n", F.row_number().over(order)).where("_n > 1")
-    cuts = later.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_cuts")).withColumnRenamed("key", "_key")
+    cuts = found.where("cut is not null").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", F.col("cut").alias("end")))).alias("_cuts")).withColumnRenamed("key", "_key")
 
     merged = F.aggregate(
         "_cuts",
