@@ -81,13 +81,25 @@ def anchors(symbols: np.ndarray, first: np.ndarray, min_words: int = MIN_WORDS,
     return chosen, grams[chosen]
 
 
+def reach_left(symbols: np.ndarray, first: np.ndarray, chosen: np.ndarray, min_words: int = MIN_WORDS, k: int = GRAM) -> np.ndarray:
+    """Words before each anchor that matter: down to the nearest lesser gram, which a repeat of this anchor can't begin at or
+    before, at most a window, and none beyond the begin of the row."""
+    w = min_words - k + 1
+    grams = windowed(symbols, k)
+    most = np.minimum(chosen - first[np.searchsorted(first, chosen, "right") - 1], w)
+    out = most.copy()
+    for d in range(w, 0, -1):
+        lesser = (d <= most) & (grams[np.maximum(chosen - d, 0)] < grams[chosen])
+        out[lesser] = d
+    return out
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
 def anchor_rows(base: DataFrame, min_words: int, k: int) -> DataFrame:
-    """``(gram, key, pos, before)`` for every anchor; ``before``: hash of the window of words before it, or of the row if that is cut."""
-    w = min_words - k + 1
+    """``(gram, key, pos, before)`` for every anchor; ``before``: hash of the words before it that matter, or of the row if that begins with these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,10 +111,12 @@ def anchor_rows(base: DataFrame, min_words: int, k: int) -> DataFrame:
                 row = np.searchsorted(runs.first, chosen, "right") - 1
                 pos = chosen - runs.first[row]
                 key = keys[lo + row]
-                before = wh.mix(key + wh.mix(pos.astype(np.uint64)))
-                deep = pos >= w
-                if deep.any():
-                    before[deep] = windowed(runs.symbol, w)[chosen[deep] - w]
+                left = reach_left(runs.symbol, runs.first, chosen, min_words, k)
+                total = np.zeros(len(runs.symbol) + 1, np.uint64)
+                np.cumsum(runs.symbol * wh.powers(wh._BASE, len(runs.symbol)), out=total[1:])
+                before = wh.mix((total[chosen] - total[chosen - left]) * wh.powers(wh._INVERSE, len(runs.symbol) + 1)[chosen - left] + left.astype(np.uint64))
+                start = left == pos
+                before[start] = wh.mix(key[start] + wh.mix(pos[start].astype(np.uint64)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(_signed(grams)), pa.array(_signed(key)), pa.array(pos, pa.int32()), pa.array(_signed(before))], names=["gram", "key", "pos", "before"]
                 )
@@ -131,7 +145,7 @@ def context_rows(marked: DataFrame, min_words: int, k: int, kind: str) -> DataFr
                 stop = np.append(alone, n)[np.searchsorted(alone, work)] + w + k
                 last = runs.end[np.minimum(stop, n) - 1]
                 begin = runs.start[work]
-                left = runs.start[np.maximum(work - w, 0)]
+                left = runs.start[work - reach_left(runs.symbol, runs.first, work, min_words, k)]
                 gram = grams[np.searchsorted(chosen, work)]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -243,11 +257,11 @@ class Repeat:
         return self.b - self.a + 1
 
 
-def maximal_repeats(lefts: list[str], rights: list[str], age: list[int], min_words: int, k: int) -> Iterator[Repeat]:
+def maximal_repeats(lefts: list[str], rights: list[str], places: list[int], age: list[int], min_words: int, k: int) -> Iterator[Repeat]:
     """Roots of the trees of all maximal repeats that belong to this anchor.
 
-    ``rights`` are the suffixes at the anchor, ``lefts`` the words before it. A repeat that
-    begins o words before the anchor is a set of occurrences that agree in o words before it, so
+    ``rights`` are the suffixes at the anchor, ``lefts`` the words before it that matter,
+    ``places`` their numbers of words before the anchor in all. A repeat that begins o words before the anchor is a set of occurrences that agree in o words before it, so
     for every o at which some differ the suffixes that agree up to there are scanned for intervals; one whose
     members are not all preceded by one word, and so can't be longer to the left, is maximal.
     Its occurrences are its own and those of the nodes below it, which are longer. ``first``
@@ -262,10 +276,12 @@ def maximal_repeats(lefts: list[str], rights: list[str], age: list[int], min_wor
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     left_words = [tokens(t)[::-1] for t in lefts]
-    ends = [" ".join([*ws, *([f"\x02{i}"] if len(ws) < w else [])]) + " " for i, ws in enumerate(left_words)]
+    whole = [len(ws) == at for ws, at in zip(left_words, places)]
+    ends = ["".join(x + " " for x in ws) + (f"\x02{i} " if at_start else "") for i, (ws, at_start) in enumerate(zip(left_words, whole))]
     left_order, left_lcp = ordered(ends)
     for o, lo, hi in intervals(left_lcp.tolist(), 0):
-        if o >= w:
+        some = left_order[lo]
+        if o >= w or (o == len(left_words[some]) and not whole[some]):
             continue
         members = np.array(left_order[lo : hi + 1])
         child = np.concatenate([[0], np.cumsum(left_lcp[lo + 1 : hi + 1] == o)])
@@ -316,7 +332,7 @@ def repeat_rows(contexts: DataFrame, min_words: int, k: int, kind: str) -> DataF
                 known[text] = spans(text)
             return known[text]
 
-        for root in maximal_repeats([left[i] for i in rows], [right[i] for i in rows], age, min_words, k):
+        for root in maximal_repeats([left[i] for i in rows], [right[i] for i in rows], [places[i] for i in rows], age, min_words, k):
             names: dict[int, int] = {}
             for node in root.nodes():
                 name = xxhash.xxh64_intdigest(" ".join(node.words).encode())
