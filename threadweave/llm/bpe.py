@@ -6,6 +6,7 @@ import hashlib
 import json
 import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,7 +20,7 @@ from threadweave.llm import wordhash as wh
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 NEVER = 1 << 60
-KNOWN = 400_000  #: words that a worker remembers; beyond, it starts anew
+KNOWN = 300_000  #: words that a worker remembers; beyond, it starts anew
 
 
 def byte_letters() -> dict[str, int]:
@@ -173,8 +174,9 @@ class Encoder:
 
     def forget(self) -> None:
         self.place: dict[int, int] = {}
-        self.flat: list[int] = []
-        self.ends = [0]
+        self.flat = array("i")
+        self.ends = array("q", [0])
+        self.automaton.table.clear()
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets of the rows in them) for the rows at ``at`` in the UTF-8 bytes ``data``."""
@@ -196,18 +198,15 @@ class Encoder:
             k = place.get(h)
             if k is None:
                 k = place[h] = len(self.ends) - 1
-                self.flat += self.automaton.encode(raw[where[start[f]] : where[end[f]]])
+                self.flat.extend(self.automaton.encode(raw[where[start[f]] : where[end[f]]]))
                 self.ends.append(len(self.flat))
             code[i] = k
-        ends, flat = np.asarray(self.ends), self.flat
-        lo, size = ends[code], ends[code + 1] - ends[code]
-        # only the tokens of this batch's words
-        short = np.concatenate([[0], np.cumsum(size)])
-        tokens = np.fromiter((t for a, b in zip(lo.tolist(), (lo + size).tolist()) for t in flat[a:b]), np.int32, int(short[-1]))
-        n = size[which]
+        ends, flat = np.array(self.ends), np.frombuffer(self.flat, np.int32) if self.flat else np.zeros(0, np.int32)
+        n = (ends[code + 1] - ends[code])[which]
         done = np.concatenate([[0], np.cumsum(n)])
-        take = np.repeat(short[which] - done[:-1], n) + np.arange(done[-1])
-        return tokens[take], done[np.searchsorted(start, rows)]
+        tokens = flat[np.repeat(ends[code][which] - done[:-1], n) + np.arange(done[-1])]
+        del flat  # the array can't grow while it is looked at
+        return tokens, done[np.searchsorted(start, rows)]
 
 
 @lru_cache(2)

@@ -10,6 +10,7 @@ can have, and the suffix array, its interval tree and the test of what precedes
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import groupby
@@ -165,13 +166,13 @@ def context_rows(marked: DataFrame, min_words: int, k: int, kind: str) -> DataFr
 
 def tokens(text: str) -> list[str]:
     """Words of a text; successive equal ones as one, marked with their number."""
-    found = TOKEN.findall(text)
+    found = list(map(sys.intern, TOKEN.findall(text)))
     if any(map(str.__eq__, found, found[1:])):
         return [w if n == 1 else f"{w}\x01{n}" for w, n in ((w, sum(1 for _ in g)) for w, g in groupby(found))]
     return found
 
 
-def spans(text: str) -> list[tuple[int, int]]:
+def spans(text: str) -> np.ndarray:
     """Begin and end of what ``tokens`` gives."""
     out: list[tuple[int, int]] = []
     last = None
@@ -181,7 +182,7 @@ def spans(text: str) -> list[tuple[int, int]]:
         else:
             out.append(m.span())
         last = m[0]
-    return out
+    return np.array(out, np.int32).reshape(-1, 2)
 
 
 def common(a: str, b: str) -> int:
@@ -325,9 +326,9 @@ def repeat_rows(contexts: DataFrame, min_words: int, k: int, kind: str) -> DataF
         age = [0] * len(rows)
         for n, j in enumerate(sorted(range(len(rows)), key=lambda j: (ids[rows[j]], at[rows[j]], keys[rows[j]]))):
             age[j] = n
-        known: dict[str, list[tuple[int, int]]] = {}
+        known: dict[str, np.ndarray] = {}
 
-        def place(text: str) -> list[tuple[int, int]]:
+        def place(text: str) -> np.ndarray:
             if text not in known:
                 known[text] = spans(text)
             return known[text]
@@ -340,12 +341,12 @@ def repeat_rows(contexts: DataFrame, min_words: int, k: int, kind: str) -> DataF
                 above = names[id(node.above)] if node.above else None
                 for j in node.own or [node.first]:
                     i = rows[j]
-                    begin = at[i] - len(left[i]) + place(left[i])[-node.left][0] if node.left else at[i]
+                    begin = at[i] - len(left[i]) + int(place(left[i])[-node.left][0]) if node.left else at[i]
                     cutter = node if node.own else None
                     while cutter is not None and cutter.first == j:
                         cutter = cutter.above
-                    cut_at = None if cutter is None else at[i] + place(right[i])[cutter.length - 1][1]
-                    yield names[id(node)], above, len(node.words), node.size, ids[i], keys[i], begin, at[i] + place(right[i])[node.length - 1][1], cut_at
+                    cut_at = None if cutter is None else at[i] + int(place(right[i])[cutter.length - 1][1])
+                    yield names[id(node)], above, len(node.words), node.size, ids[i], keys[i], begin, at[i] + int(place(right[i])[node.length - 1][1]), cut_at
 
     def flush(held: list[list]) -> pa.RecordBatch | None:
         out = list(group(*held[1:]))
@@ -376,7 +377,8 @@ def repeat_rows(contexts: DataFrame, min_words: int, k: int, kind: str) -> DataF
             yield made
 
     shape = f"repeat_id bigint, parent_id bigint, n_words int, n_occurrences int, doc_id {kind}, key bigint, start int, end int, cut int"
-    return contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, shape)
+    spread = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return contexts.repartition(spread, "gram").sortWithinPartitions("gram").mapInArrow(run, shape)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20  #: bytes of text that are worked on at once; a longer text is one chunk
+CHUNK = 1 << 19  #: bytes of text that are worked on at once; a longer text is one chunk
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
