@@ -44,20 +44,28 @@ class MergeAutomaton:
 
     def __init__(self, labels: list[bytes], merges: list[tuple[int, int, int]]):
         self.labels = labels
-        self.ids = {label: i for i, label in reversed(list(enumerate(labels))) if label}
+        self.size = [len(label) for label in labels]
         self.cut: dict[tuple[int, int], int] = {}
         self.left: list[tuple[int, int]] = [(-1, NEVER)] * len(labels)
         self.right: list[tuple[int, int]] = [(-1, NEVER)] * len(labels)
+        made = {i for i, n in enumerate(self.size) if n == 1}
         for k, (u, v, x) in enumerate(merges):
-            self.cut.setdefault((u, v), k)
-            if self.left[x][0] < 0 and len(labels[x]) > 1:
+            if u in made and v in made and x not in made and self._arc(u, v):
                 self.left[x], self.right[x] = (u, k), (v, k)
-        self.prefixes = {label[:i] for label in self.ids for i in range(1, len(label) + 1)}
-        self.table: dict[tuple[int, int], bool] = {}
+                made.add(x)
+            self.cut.setdefault((u, v), k)
+        #: Letter by letter, (token or -1, what may follow) for all tokens with arcs.
+        self.trie: dict[int, list] = {}
+        for i in sorted(made):
+            node = self.trie
+            for b in labels[i][:-1]:
+                node = node.setdefault(b, [-1, {}])[1]
+            node.setdefault(labels[i][-1], [-1, {}])[0] = i
+        self.table: dict[int, bool] = {}
 
     def arc(self, state: int, token: int) -> bool:
         """Whether the state after token ``state`` has an arc ``token``."""
-        at = state, token
+        at = state << 20 | token
         known = self.table.get(at)
         if known is None:
             known = self.table[at] = self._arc(state, token)
@@ -75,32 +83,45 @@ class MergeAutomaton:
             a, before = self.right[a]
         return True
 
+    def arcs(self, word: bytes, at: int) -> list[int]:
+        """Tokens that the word goes on with, the longest last."""
+        out, node = [], self.trie
+        for i in range(at, len(word)):
+            found = node.get(word[i])
+            if found is None:
+                break
+            token, node = found
+            if token >= 0:
+                out.append(token)
+        return out
+
     def encode(self, word: bytes) -> list[int]:
-        """Token ids of a word. Every prefix has one correct tokenization; the last token of each
-        is found by the arc that leads to it, in one pass over the word."""
-        whole = self.ids.get(word)
-        n = len(word)
-        if whole is not None and (n == 1 or self.left[whole][0] >= 0):
-            return [whole]
-        last = [-2] * (n + 1)
-        last[0] = -1
-        ids, prefixes, arc = self.ids, self.prefixes, self.arc
-        for i in range(n):
-            state = last[i]
-            if state == -2:
-                continue
-            for j in range(i + 1, n + 1):
-                part = word[i:j]
-                if part not in prefixes:
-                    break
-                token = ids.get(part)
-                if token is not None and last[j] == -2 and (state == -1 or arc(state, token)) and (j - i == 1 or self.left[token][0] >= 0):
-                    last[j] = token
-        out, at = [], n
-        while at:
-            out.append(last[at])
-            at -= len(self.labels[last[at]])
-        return out[::-1]
+        """Token ids of a word: its path through the automaton, the longest arcs tried first.
+
+        Every prefix has one correct tokenization, so each place is reached in one way at most, and
+        a place from which the path can't go on is never tried again.
+        """
+        n, size, arc = len(word), self.size, self.table.get
+        at, state, open_ = 0, -1, self.arcs(word, 0)
+        path: list[tuple[int, int, list[int]]] = []
+        dead: set[int] = set()
+        while at < n:
+            while open_:
+                token = open_.pop()
+                to = at + size[token]
+                if to in dead:
+                    continue
+                if state >= 0:
+                    known = arc(state << 20 | token)
+                    if not (self.arc(state, token) if known is None else known):
+                        continue
+                path.append((at, state, open_))
+                at, state, open_ = to, token, self.arcs(word, to)
+                break
+            else:
+                dead.add(at)
+                at, state, open_ = path.pop()
+        return [s for _, s, _ in path[1:]] + [state] if path else []
 
 
 def compile_vocabulary(text: str) -> MergeAutomaton:
@@ -113,10 +134,6 @@ def compile_vocabulary(text: str) -> MergeAutomaton:
             labels[i] = bytes(letters[c] for c in token)
     pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
     merges = [(vocab[u], vocab[v], vocab[u + v]) for u, v in pairs]
-    made = {x for _, _, x in merges}
-    for i, label in enumerate(labels):
-        if len(label) > 1 and i not in made:
-            labels[i] = b""
     return MergeAutomaton(labels, merges)
 
 
