@@ -1,0 +1,38 @@
+import duckdb
+import pytest
+
+from threadweave.plans import catalog
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+
+
+@pytest.fixture(scope="module")
+def duck(sf):
+    c = duckdb.connect()
+    for t in TABLES.split():
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+def test_same_rows_as_sql(name, spark, sf, duck):
+    got, want = catalog.QUERIES[name](spark, sf).toPandas(), duck.execute(catalog.ORACLES[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    assert len(got) == len(want) > 0
+    got, want = (x[columns].sort_values(columns).reset_index(drop=True) for x in (got, want))
+    for c in columns:
+        assert str(got[c].dtype) == str(want[c].dtype), c
+        assert ((got[c] == want[c]) | (got[c].isna() & want[c].isna())).all(), c
+
+
+@pytest.mark.parametrize("name", ["mixing_fit", "emojis", "post_strings", "post_vectors"])
+def test_others_give_rows(name, spark, sf):
+    assert catalog.QUERIES[name](spark, sf).count() > 0
+
+
+def test_entry(spark):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).count() == 20
+    assert set(entry.oracle_sql()) <= set(entry.queries())

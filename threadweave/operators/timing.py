@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from threadweave.operators.graph import KEY, edges
 
-_ALL = Window.partitionBy("convo_id")
-_ORDER = _ALL.orderBy("created_at", "seq")
+
+def _all():
+    return Window.partitionBy("convo_id")
+
+
+def _order():
+    return _all().orderBy("created_at", "seq")
 
 
 def _ordered():
-    return (F.count("created_at").over(_ALL) == F.count(F.lit(1)).over(_ALL)) | (F.count(F.lit(1)).over(_ALL) == 1)
+    return (F.count("created_at").over(_all()) == F.count(F.lit(1)).over(_all())) | (F.count(F.lit(1)).over(_all()) == 1)
 
 
 def _epoch(column: str = "created_at"):
@@ -21,7 +26,7 @@ def _epoch(column: str = "created_at"):
 
 def time_order(posts: DataFrame) -> DataFrame:
     """``(convo_id, uid, place)``, from 0, ties in order of insertion; no rows for a conversation without an order."""
-    return posts.withColumn("_o", _ordered()).withColumn("place", F.row_number().over(_ORDER) - 1).where("_o").select(*KEY, "place")
+    return posts.withColumn("_o", _ordered()).withColumn("place", F.row_number().over(_order()) - 1).where("_o").select(*KEY, "place")
 
 
 def text_stream(posts: DataFrame) -> DataFrame:
@@ -33,8 +38,8 @@ def text_stream(posts: DataFrame) -> DataFrame:
 
 def time_series(posts: DataFrame, normalize_by_first: bool = True) -> DataFrame:
     """``(convo_id, uid, place, second)``: epoch seconds in order, from the first post's on if normalized."""
-    second = _epoch() - F.min(_epoch()).over(_ALL) if normalize_by_first else _epoch()
-    return posts.withColumn("_o", _ordered()).withColumn("place", F.row_number().over(_ORDER) - 1).withColumn("second", second).where("_o").select(*KEY, "place", "second")
+    second = _epoch() - F.min(_epoch()).over(_all()) if normalize_by_first else _epoch()
+    return posts.withColumn("_o", _ordered()).withColumn("place", F.row_number().over(_order()) - 1).withColumn("second", second).where("_o").select(*KEY, "place", "second")
 
 
 def duration(posts: DataFrame) -> DataFrame:
@@ -45,7 +50,7 @@ def duration(posts: DataFrame) -> DataFrame:
 
 def relative_age(posts: DataFrame) -> DataFrame:
     """``(convo_id, uid, relative_age)``: seconds since the conversation's first post, -1 without an order."""
-    age = F.when(_ordered() & F.col("created_at").isNotNull(), _epoch() - F.min(_epoch()).over(_ALL)).otherwise(-1.0)
+    age = F.when(_ordered() & F.col("created_at").isNotNull(), _epoch() - F.min(_epoch()).over(_all())).otherwise(-1.0)
     return posts.select(*KEY, age.alias("relative_age"))
 
 
