@@ -15,8 +15,8 @@ from threadweave.llm import wordhash as wh
 
 BITS = 18  #: the text is hashed to 2**18 weights
 MAX_LABELLED = 20_000  #: labelled rows that the fit uses at most, those of the least hash of the id
-EPOCHS, BATCH, RATE, L1 = 12, 256, 0.1, 2e-4
-STEPS = 200  #: mini-batches at least
+EPOCHS, BATCH, RATE, L1 = 12, 256, 0.3, 5e-5
+STEPS = 4_000  #: mini-batches at least
 LEAST_ROWS, LEAST_Z = 3, 3.5  #: labelled rows that must have a feature, and standard errors that their mean grade must be off, for it to get a weight
 TAIL = 0.4  #: least probability of the best grade for a document to be selected
 
@@ -87,7 +87,13 @@ def fit(ids: np.ndarray, ends: np.ndarray, grades: np.ndarray, n_grades: int, ep
     rows_with = np.bincount(ids, minlength=dims)
     off = np.bincount(ids, np.repeat(grades - grades.mean(), np.diff(ends)), dims) if len(grades) else np.zeros(dims)
     common = (rows_with >= LEAST_ROWS) & (np.abs(off) >= LEAST_Z * max(grades.std(), 1e-9) * np.sqrt(rows_with)) if len(grades) else rows_with > 0
-    w, g2 = np.zeros(dims), np.full(dims, 1e-6)
+    # only features that get a weight are worked on
+    used = np.flatnonzero(common)
+    place = np.full(dims, -1, np.int64)
+    place[used] = np.arange(len(used))
+    kept = place[ids] >= 0
+    ids, ends = place[ids[kept]], np.concatenate([[0], np.cumsum(kept)])[ends]
+    w, g2 = np.zeros(len(used)), np.full(len(used), 1e-6)
     share = np.cumsum(np.bincount(grades, minlength=n_grades) + 0.5)[:-1] / (len(grades) + 0.5 * n_grades)
     cuts = np.log(share / (1 - share))
     c2 = np.full(n_grades - 1, 1e-6)
@@ -109,17 +115,17 @@ def fit(ids: np.ndarray, ends: np.ndarray, grades: np.ndarray, n_grades: int, ep
             pu, pl = 1 / (1 + np.exp(-np.clip(up, -40, 40))), 1 / (1 + np.exp(-np.clip(low, -40, 40)))
             mass = np.maximum(pu - pl, 1e-9)
             du, dl = pu * (1 - pu) / mass, pl * (1 - pl) / mass
-            grad = np.bincount(x, ((du - dl) / len(rows))[owner], dims)
-            grad[~common] = 0
+            grad = np.bincount(x, ((du - dl) / len(rows))[owner], len(used))
             g2 += grad * grad
             rate = RATE / np.sqrt(g2)
             w -= rate * grad
             w = np.sign(w) * np.maximum(np.abs(w) - rate * l1, 0)
-            w[~common] = 0
             gc = np.array([(-du[y == j].sum() + dl[y == j + 1].sum()) / len(rows) for j in range(n_grades - 1)])
             c2 += gc * gc
             cuts = np.maximum.accumulate(cuts - RATE / np.sqrt(c2) * gc + 1e-6 * np.arange(n_grades - 1))
-    return OrdinalModel(w.astype(np.float32), cuts)
+    weights = np.zeros(dims, np.float32)
+    weights[used] = w
+    return OrdinalModel(weights, cuts)
 
 
 def grade(quality: Column, toxic: Column) -> Column:
