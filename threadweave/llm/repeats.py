@@ -13,7 +13,8 @@ import re
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import groupby
+from itertools import compress, islice
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -100,12 +101,13 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def anchor_rows(base: DataFrame, min_words: int, k: int) -> DataFrame:
-    """``(gram, key, pos, before)`` for every anchor; ``before``: hash of the words before it that matter, or of the row if that begins with these."""
+    """``(gram, same, pos, before)`` for every anchor; ``same``: hash of its text; ``before``: hash of the words before it that
+    matter, or of the row if that begins with these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy().view(np.uint64)
-            data, at = wh.strings(batch.column(1))
+            keys, texts = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+            data, at = wh.strings(batch.column(2))
             for lo, hi in wh.chunks(at):
                 runs = Runs(data, at[lo : hi + 1])
                 chosen, grams = anchors(runs.symbol, runs.first, min_words, k)
@@ -119,25 +121,25 @@ def anchor_rows(base: DataFrame, min_words: int, k: int) -> DataFrame:
                 start = left == pos
                 before[start] = wh.mix(key[start] + wh.mix(pos[start].astype(np.uint64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(grams)), pa.array(_signed(key)), pa.array(pos, pa.int32()), pa.array(_signed(before))], names=["gram", "key", "pos", "before"]
+                    [pa.array(_signed(grams)), pa.array(_signed(texts[lo + row])), pa.array(pos, pa.int32()), pa.array(_signed(before))], names=["gram", "same", "pos", "before"]
                 )
 
-    return base.select("key", "t").mapInArrow(run, "gram bigint, key bigint, pos int, before bigint")
+    return base.select("key", "same", "t").mapInArrow(run, "gram bigint, same bigint, pos int, before bigint")
 
 
 def context_rows(marked: DataFrame, min_words: int, k: int, kind: str) -> DataFrame:
-    """``(gram, id, key, pos, at, left, right)`` for the anchors to work on: the words before it that a
+    """``(gram, copies, pos, at, left, right)`` for the anchors to work on: the words before it that a
     repeat of its can begin with, and the words from it on as far as a repeat can go: beyond
     the next anchor that occurs nowhere else there are at most a window and a gram more."""
     w = min_words - k + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = wh.strings(batch.column(2))
+            data, at = wh.strings(batch.column(1))
             for r in range(batch.num_rows):
                 runs = Runs(data, at[r : r + 2])
                 chosen, grams = anchors(runs.symbol, runs.first, min_words, k)
-                pos = np.array(batch.column(3)[r].as_py(), np.int64)
+                pos = np.array(batch.column(2)[r].as_py(), np.int64)
                 work = np.unique(np.abs(pos[pos < 0]) - 1)  # written as -1 - pos
                 repeated = np.union1d(work, pos[pos >= 0])
                 alone = chosen[~np.isin(chosen, repeated)]
@@ -152,37 +154,46 @@ def context_rows(marked: DataFrame, min_words: int, k: int, kind: str) -> DataFr
                     [
                         pa.array(_signed(np.ascontiguousarray(gram))),
                         batch.column(0).take(pa.array(np.full(len(work), r))),
-                        batch.column(1).take(pa.array(np.full(len(work), r))),
                         pa.array(work, pa.int32()),
                         pa.array(letters[begin], pa.int32()),
                         pa.array([text[a:b].decode() for a, b in zip(left.tolist(), begin.tolist())], pa.string()),
                         pa.array([text[a:b].decode() for a, b in zip(begin.tolist(), last.tolist())], pa.string()),
                     ],
-                    names=["gram", "id", "key", "pos", "at", "left", "right"],
+                    names=["gram", "copies", "pos", "at", "left", "right"],
                 )
 
-    return marked.select("id", "key", "t", "marks").mapInArrow(run, f"gram bigint, id {kind}, key bigint, pos int, at int, left string, right string")
+    return marked.select("copies", "t", "marks").mapInArrow(run, f"gram bigint, copies array<struct<id:{kind},key:bigint>>, pos int, at int, left string, right string")
+
+
+def words_of(text: str) -> tuple[list[str], list[int]]:
+    """Words of a text, and the places of those that are equal to the one before."""
+    found = list(map(sys.intern, TOKEN.findall(text)))
+    return found, list(compress(range(1, len(found)), map(is_, found, islice(found, 1, None))))
 
 
 def tokens(text: str) -> list[str]:
     """Words of a text; successive equal ones as one, marked with their number."""
-    found = list(map(sys.intern, TOKEN.findall(text)))
-    if any(map(str.__eq__, found, found[1:])):
-        return [w if n == 1 else f"{w}\x01{n}" for w, n in ((w, sum(1 for _ in g)) for w, g in groupby(found))]
-    return found
+    found, again = words_of(text)
+    if not again:
+        return found
+    out, done, i = [], 0, 0
+    while i < len(again):
+        first = last = again[i]
+        while i + 1 < len(again) and again[i + 1] == last + 1:
+            i, last = i + 1, last + 1
+        out += found[done : first - 1]
+        out.append(f"{found[first]}\x01{last - first + 2}")
+        done, i = last + 1, i + 1
+    return out + found[done:]
 
 
 def spans(text: str) -> np.ndarray:
     """Begin and end of what ``tokens`` gives."""
-    out: list[tuple[int, int]] = []
-    last = None
-    for m in TOKEN.finditer(text):
-        if m[0] == last:
-            out[-1] = out[-1][0], m.end()
-        else:
-            out.append(m.span())
-        last = m[0]
-    return np.array(out, np.int32).reshape(-1, 2)
+    found, again = words_of(text)
+    ends = np.array([m.end() for m in TOKEN.finditer(text)], np.int32)
+    begins = ends - np.array(list(map(len, found)), np.int32)
+    places = np.array(again, np.int64)
+    return np.stack([np.delete(begins, places), np.delete(ends, places - 1)], axis=1)
 
 
 def common(a: str, b: str) -> int:
@@ -320,11 +331,16 @@ def maximal_repeats(lefts: list[str], rights: list[str], places: list[int], age:
 def repeat_rows(contexts: DataFrame, min_words: int, k: int, kind: str) -> DataFrame:
     """Rows of ``find_repeats``, and ``cut``: where a cut from ``start`` on must end for all but first occurrences to go."""
 
-    def group(ids: list, keys: list, places: list, at: list, left: list, right: list) -> Iterator[tuple]:
-        distinct = {(a, b): i for i, (a, b) in enumerate(zip(keys, places))}
-        rows = list(distinct.values())
+    def group(copies: list, places: list, at: list, left: list, right: list) -> Iterator[tuple]:
+        # A text with copies takes part twice, as its first copy and as all others: in which repeats
+        # copies of one text are doesn't depend on their number. own: (row, copies)
+        own = []
+        for i, c in enumerate(copies):
+            c = sorted((x["id"], x["key"]) for x in c)
+            own += [(i, c[:1]), (i, c[1:])] if len(c) > 1 else [(i, c)]
+        rows = [i for i, _ in own]
         age = [0] * len(rows)
-        for n, j in enumerate(sorted(range(len(rows)), key=lambda j: (ids[rows[j]], at[rows[j]], keys[rows[j]]))):
+        for n, j in enumerate(sorted(range(len(rows)), key=lambda j: (own[j][1][0][0], at[rows[j]], own[j][1][0][1]))):
             age[j] = n
         known: dict[str, np.ndarray] = {}
 
@@ -335,18 +351,24 @@ def repeat_rows(contexts: DataFrame, min_words: int, k: int, kind: str) -> DataF
 
         for root in maximal_repeats([left[i] for i in rows], [right[i] for i in rows], [places[i] for i in rows], age, min_words, k):
             names: dict[int, int] = {}
-            for node in root.nodes():
+            size: dict[int, int] = {}
+            nodes = list(root.nodes())
+            for node in reversed(nodes):
+                size[id(node)] = sum(len(own[j][1]) for j in node.own) + sum(size[id(x)] for x in node.below)
+            for node in nodes:
                 name = xxhash.xxh64_intdigest(" ".join(node.words).encode())
                 names[id(node)] = name - (1 << 64) * (name >> 63)
                 above = names[id(node.above)] if node.above else None
                 for j in node.own or [node.first]:
                     i = rows[j]
                     begin = at[i] - len(left[i]) + int(place(left[i])[-node.left][0]) if node.left else at[i]
+                    end = at[i] + int(place(right[i])[node.length - 1][1])
                     cutter = node if node.own else None
                     while cutter is not None and cutter.first == j:
                         cutter = cutter.above
-                    cut_at = None if cutter is None else at[i] + int(place(right[i])[cutter.length - 1][1])
-                    yield names[id(node)], above, len(node.words), node.size, ids[i], keys[i], begin, at[i] + int(place(right[i])[node.length - 1][1]), cut_at
+                    first_cut = None if cutter is None else at[i] + int(place(right[i])[cutter.length - 1][1])
+                    for n, (doc, key) in enumerate(own[j][1] if node.own else own[j][1][:1]):
+                        yield names[id(node)], above, len(node.words), size[id(node)], doc, key, begin, end, (end if n else first_cut)
 
     def flush(held: list[list]) -> pa.RecordBatch | None:
         out = list(group(*held[1:]))
@@ -359,13 +381,13 @@ def repeat_rows(contexts: DataFrame, min_words: int, k: int, kind: str) -> DataF
     types: list = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[] for _ in range(7)]
+        held: list[list] = [[] for _ in range(6)]
         for batch in batches:
-            types[:] = [batch.schema.field(1).type]
+            types[:] = [batch.schema.field(1).type.value_type.field(0).type]
             grams = batch.column(0).to_numpy()
             edges = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])).tolist()
             for a, b in zip(edges, [*edges[1:], len(grams)]):
-                part = [batch.column(c).slice(a, b - a).to_pylist() for c in range(7)]
+                part = [batch.column(c).slice(a, b - a).to_pylist() for c in range(6)]
                 if held[0] and held[0][0] != part[0][0]:
                     if (made := flush(held)) is not None:
                         yield made
@@ -383,7 +405,7 @@ def repeat_rows(contexts: DataFrame, min_words: int, k: int, kind: str) -> DataF
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).where("id is not null and t <> ''")
-    return base.withColumn("key", F.xxhash64("id", "t"))
+    return base.withColumn("key", F.xxhash64("id", "t")).withColumn("same", F.xxhash64("t"))
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
@@ -405,7 +427,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Anchors that occur once, and those that are preceded by one and the same window wherever they
     occur (any repeat there begins before it), are left aside before any text is moved. Texts are
     compared, never hashes of them; hashes only say where to compare. Only texts with a
-    repeated anchor take part in the second half, and there is no limit to a text's length or a
+    repeated anchor take part in the second half, copies of a text as one, and there is no limit to a text's length or a
     group's size. Null ids, null and empty texts are left out; rows that repeat both id and
     text count once; ties in the order of equal suffixes don't matter. An empty table gives no
     rows; other columns are ignored.
@@ -415,9 +437,11 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = keyed(docs, id_col, text_col)
     kind = dict(base.dtypes)["id"]
     same = Window.partitionBy("gram")
-    counted = anchor_rows(base, min_words, gram).select("key", "pos", F.count(F.lit(1)).over(same).alias("n"), (F.min("before").over(same) != F.max("before").over(same)).alias("differ"))
-    marks = counted.where("n > 1").groupBy("key").agg(F.collect_list(F.when(F.col("differ"), -1 - F.col("pos")).otherwise(F.col("pos"))).alias("marks")).where(F.exists("marks", lambda x: x < 0))
-    contexts = context_rows(base.join(marks, "key"), min_words, gram, kind)
+    counted = anchor_rows(base, min_words, gram).select("same", "pos", F.count(F.lit(1)).over(same).alias("n"), (F.min("before").over(same) != F.max("before").over(same)).alias("differ"))
+    marks = counted.where("n > 1").groupBy("same").agg(F.collect_set(F.when(F.col("differ"), -1 - F.col("pos")).otherwise(F.col("pos"))).alias("marks")).where(F.exists("marks", lambda x: x < 0))
+    # copies of a text come together here and go on as one
+    found = base.join(marks, "same").groupBy("same", "t").agg(F.collect_set(F.struct("id", "key")).alias("copies"), F.first("marks").alias("marks"))
+    contexts = context_rows(found, min_words, gram, kind)
     return repeat_rows(contexts, min_words, gram, kind)
 
 
