@@ -73,6 +73,7 @@ def test_chan(spark, tmp_path):
     got = {r["uid"]: r for r in readers.read_chan(spark, str(tmp_path / "b_")).collect()}
     assert set(got) == {"12360", "12345"} and set(got["12360"]["reply_to"]) == {"12345", "12361"}
     assert got["12360"]["convo_id"] == got["12345"]["convo_id"] == "CONV_12345"
+    assert got["12360"]["chunk"] == "00"
     assert got["12360"]["created_at"].year == 2286 and got["12360"]["text"].startswith(">>12360\n")
 
 
@@ -103,4 +104,7 @@ def test_facebook_files(spark, tmp_path):
         (tmp_path / page / folder / name).write_text(data)
     got = {r["uid"]: r for r in readers.read_facebook(spark, str(tmp_path) + "/").collect()}
     assert set(got) == {"1", "c", "2", "r"} and got["2"]["text"] == "[deleted]" and got["2"]["author"] == "pg"
+    assert got["c"]["page"] == "pg" and got["c"]["tags"] == []
+    readers.convert(spark, "Facebook", str(tmp_path) + "/", str(tmp_path / "out"), by="page")
+    assert (tmp_path / "out" / "page=pg").is_dir()
     assert got["c"]["convo_id"] == got["1"]["convo_id"] == "CONV_1" and got["r"]["reply_to"] == ["2"]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadweave.functions import harmonic, text
-from threadweave.operators import entropy, features, filters, graph, merge, redaction, stats, timing, vectorize
+from threadweave.operators import annotate, entropy, features, filters, graph, merge, redaction, stats, timing, vectorize
 from threadweave.plans import metrics
 from threadweave.plans.sqlparts import ABOVE, DEGREE, DEPTH, EDGES, TOKENS, WORDS, query
 from threadweave.sources.adapters import conversation_posts, document_posts, event_posts
@@ -284,6 +284,58 @@ for _name, _keys, _prefix, _guard in (("post_stats", ["convo_id"], "post", False
     )
 
 
+_USER_LONG = "long AS (" + " UNION ALL ".join(
+    f"SELECT convo_id, author, '{f}' AS feature, CAST(sum({f}) AS DOUBLE) AS value FROM full_ints GROUP BY 1, 2" for f in ("char_count", "token_count", "punct_count", "in_degree")
+) + ")"
+
+
+def user_sums(spark, sf):
+    return features.summed_ints(light_features(conversation_posts(spark, sf)), ["convo_id", "author"])
+
+
+named("user_stats", _stats_sql("convo_id", "user", True).replace(_LONG, _USER_LONG))(
+    lambda spark, sf: _rounded(stats.five_stats(stats.to_long(user_sums(spark, sf), ["convo_id"], ["char_count", "token_count", "punct_count", "in_degree"]), ["convo_id"], "user", True), "value", digits=6)
+)
+named(
+    "user_across_ints",
+    query(
+        "SELECT author, count(DISTINCT convo_id) AS conversations, " + ", ".join(f'CAST(sum("{c}") AS BIGINT) AS "{c}"' for c in features.SUMMED_INTS)
+        + ", (SELECT count(*) FROM (SELECT DISTINCT convo_id, author FROM posts WHERE uid NOT IN (SELECT child FROM edges)) s WHERE s.author = f.author) AS source_author_count FROM full_ints f GROUP BY author",
+        EDGES, DEPTH, DEGREE, INTS, FULL_INTS,
+    ),
+)(lambda spark, sf: _across_ints(spark, sf))
+
+
+def _across_ints(spark, sf):
+    sums = user_sums(spark, sf).groupBy("author").agg(F.count(F.lit(1)).alias("conversations"), *[F.sum(f"`{c}`").alias(c) for c in features.SUMMED_INTS])
+    source = features.user_bools(conversation_posts(spark, sf)).groupBy("author").agg(F.sum(F.col("is_source_author").cast("bigint")).alias("source_author_count"))
+    return sums.join(source, "author")
+
+
+named(
+    "assembled",
+    query(
+        "SELECT convo_id, uid, char_count, token_count, CAST(sum(char_count) OVER c AS BIGINT) AS convo_char_count, CAST(sum(token_count) OVER c AS BIGINT) AS convo_token_count, "
+        "CAST(sum(char_count) OVER a AS BIGINT) AS author_char_count, CAST(sum(token_count) OVER a AS BIGINT) AS author_token_count FROM ints WINDOW c AS (PARTITION BY convo_id), a AS (PARTITION BY author)",
+        INTS,
+    ),
+)(
+    lambda spark, sf: annotate.with_context(features.post_ints(conversation_posts(spark, sf), ["convo_id", "uid", "author"]).select("convo_id", "uid", "author", "char_count", "token_count"), ["char_count", "token_count"]).drop("author")
+)
+named(
+    "annotated",
+    f"WITH {DOCS} SELECT uid, CASE WHEN t.doc_id IS NOT NULL THEN 'split=TRAIN,label=' || t.quality WHEN d.doc_id IS NOT NULL THEN 'split=DEV,label=' || d.quality ELSE '' END AS tags "
+    "FROM docs LEFT JOIN (SELECT * FROM labels WHERE toxic = 0) t ON CAST(t.doc_id AS VARCHAR) = uid LEFT JOIN (SELECT * FROM labels WHERE toxic = 1) d ON CAST(d.doc_id AS VARCHAR) = uid",
+)(lambda spark, sf: _annotated(spark, sf))
+
+
+def _annotated(spark, sf):
+    from threadweave.session import table
+
+    part = lambda t: table(spark, sf, "labels").where(F.col("toxic") == t).select(F.col("doc_id").alias("uid"), F.col("quality").alias("value"))
+    return annotate.annotate(document_posts(spark, sf), [("TRAIN", part(0)), ("DEV", part(1))]).select("uid", F.array_join("tags", ",").alias("tags"))
+
+
 # -- entropy, mixing, novelty
 
 REL = (
@@ -407,6 +459,15 @@ def redact(spark, sf):
     return redaction.redact(posts).select("convo_id", "uid", "author", "text")
 
 
+@named("language_detection")
+def language_detection(spark, sf):
+    from threadweave.functions import langdetect
+
+    posts = document_posts(spark, sf)
+    unknown = posts.withColumn("lang", F.lit("und"))
+    return langdetect.detect_languages(unknown, langdetect.naive_bayes(langdetect.train(posts))).select("uid", "lang")
+
+
 # -- vectors
 
 for _how, _expr in (("minmax", "(v - lo) / CASE WHEN hi = lo THEN 1.0 ELSE hi - lo END"), ("mean", "(v - m) / CASE WHEN hi = lo THEN 1.0 ELSE hi - lo END"), ("standard", "(v - m) / CASE WHEN s = 0 THEN 1.0 ELSE s END")):

@@ -64,7 +64,8 @@ def creation_histogram(posts: DataFrame, unit: str = "day", year: int | None = N
     good = posts.where(F.col("created_at") > F.lit(SINCE).cast("timestamp"))
     if year is not None:
         good = good.where(F.year("created_at") == year)
-    return grouped(good).groupBy("grp", F.unix_seconds(F.date_trunc(unit, "created_at")).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    own = good.groupBy("lang", F.unix_seconds(F.date_trunc(unit, "created_at")).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    return grouped(own).groupBy("grp", "at").agg(F.sum("n").alias("n"))
 
 
 def text_lengths(posts: DataFrame) -> DataFrame:
@@ -75,11 +76,13 @@ def text_lengths(posts: DataFrame) -> DataFrame:
 
 
 def text_histograms(posts: DataFrame) -> DataFrame:
-    """``(grp, measure, value, n)`` for characters, tokens and types of posts, and the pair tokens-types."""
-    long = text_lengths(posts).select(
-        "grp", F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("string").alias("value")) for m in ("chars", "tokens", "types")], F.struct(F.lit("tokens-types").alias("measure"), F.concat_ws("-", "tokens", "types").alias("value")))),
-    )
-    return long.groupBy("grp", "measure", "value").agg(F.count(F.lit(1)).alias("n"))
+    """``(grp, measure, value, n)`` for characters, tokens and types of posts, and the pair tokens-types. Counted per language first, then summed over groups."""
+    measured = posts.where(F.trim("text") != "").withColumn("_t", partition_tokens(F.col("text")))
+    wide = measured.select("lang", F.length("text").alias("chars"), F.size("_t").alias("tokens"), F.size(F.array_distinct("_t")).alias("types"))
+    pairs = [F.struct(F.lit(m).alias("measure"), F.col(m).cast("string").alias("value")) for m in ("chars", "tokens", "types")]
+    pairs.append(F.struct(F.lit("tokens-types").alias("measure"), F.concat_ws("-", "tokens", "types").alias("value")))
+    own = wide.select("lang", F.inline(F.array(*pairs))).groupBy("lang", "measure", "value").agg(F.count(F.lit(1)).alias("n"))
+    return grouped(own).groupBy("grp", "measure", "value").agg(F.sum("n").alias("n"))
 
 
 def text_totals(posts: DataFrame, cased: bool = True) -> DataFrame:

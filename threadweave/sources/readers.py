@@ -23,8 +23,15 @@ class Reader(Protocol):
     def __call__(self, spark: SparkSession, path: str) -> DataFrame: ...
 
 
-def _finish(rows: DataFrame, pool: Column, detect: Callable[[DataFrame], DataFrame] | None, *order: str) -> DataFrame:
-    """Number, merge by id within a pool, detect languages, and cut into components."""
+_POOL = "\x01pool="
+
+
+def _finish(rows: DataFrame, pool: Column, detect: Callable[[DataFrame], DataFrame] | None, *order: str, label: Column | None = None, name: str = "pool") -> DataFrame:
+    """Number, merge by id within a pool, detect languages, and cut into components. ``label`` of a pool becomes the column ``name``."""
+    if label is not None:
+        kept = _finish(rows.withColumn("tags", F.array_union("tags", F.array(F.concat(F.lit(_POOL), label)))), pool, detect, *order)
+        own = F.filter("tags", lambda t: t.startswith(_POOL))
+        return kept.withColumn(name, F.replace(own[0], F.lit(_POOL), F.lit(""))).withColumn("tags", F.array_except("tags", own))
     numbered = rows.withColumn("convo_id", pool).withColumn("seq", F.row_number().over(Window.partitionBy("convo_id").orderBy(*order)).cast("bigint"))
     merged = merge_posts(numbered.select(*COLUMNS))
     return segment(detect(merged) if detect else merged)
@@ -95,11 +102,11 @@ def parse_chan(raw_posts: DataFrame) -> DataFrame:
 
 
 def read_chan(spark: SparkSession, path: str, detect=None) -> DataFrame:
-    """Chunks ``path00.json`` to ``path99.json``, each an object from id to post; replies are followed within a chunk."""
+    """Chunks ``path00.json`` to ``path99.json``, each an object from id to post; replies are followed within a chunk. Adds ``chunk``."""
     shape = "map<string,struct<no:bigint,resto:bigint,time:double,name:string,com:string>>"
     files = _files(spark, path + "[0-9][0-9].json")
     posts = files.select("file", F.explode(F.from_json("value", shape)).alias("k", "p")).select("file", "p.*")
-    return _finish(parse_chan(posts), F.col("file"), detect, "uid")
+    return _finish(parse_chan(posts), F.col("file"), detect, "uid", label=F.regexp_extract("file", r"(\d\d)\.json$", 1), name="chunk")
 
 
 def read_tweets(spark: SparkSession, path: str, detect=None) -> DataFrame:
@@ -112,9 +119,7 @@ def read_tweet_threads(spark: SparkSession, path: str) -> DataFrame:
     """Files ``path*tweets.json``, each an object from id to tweet; replies are followed within a file. Adds ``source``, from the file's name."""
     files = _files(spark, path + "*tweets.json").withColumn("line", F.col("file"))
     rows = raw.parsed(files, _values(raw.tweet), {"file": "string"})
-    posts = _finish(rows.withColumn("tags", F.array(F.concat(F.lit("_source="), _thread_source(F.col("file"))))), F.col("file"), None, "place")
-    own = F.filter("tags", lambda t: t.startswith("_source="))
-    return posts.withColumn("source", F.substring(own[0], 9, 10_000)).withColumn("tags", F.array_except("tags", own))
+    return _finish(rows, F.col("file"), None, "place", label=_thread_source(F.col("file")), name="source")
 
 
 def _thread_source(file: Column) -> Column:
@@ -157,7 +162,7 @@ def read_facebook(spark: SparkSession, path: str, detect=None) -> DataFrame:
     """Folders ``path<page>/<post>/{post,comments,replies,attach,react,scrape}*.json``; a pool per page.
 
     Files that aren't JSON are passed over. A post folder without a good post gets one with the text [deleted] by
-    the page; comments reply to the folder's post. Other file names raise. Adds no column."""
+    the page; comments reply to the folder's post. Other file names raise. Adds ``page``."""
     at = F.split(F.col("file"), "/")
     files = _files(spark, path + "*/*/*.json").select("value", "file", F.element_at(at, -3).alias("page"), F.element_at(at, -2).alias("folder"), F.element_at(at, -1).alias("name"))
     known = F.regexp_extract("name", "(post|comments|replies|attach|react|scrape)", 1)
@@ -179,8 +184,13 @@ def read_facebook(spark: SparkSession, path: str, detect=None) -> DataFrame:
     )
     below = good.where("kind <> 'post'").join(folders.select("page", "folder", "target"), ["page", "folder"])
     replies = raw.parsed(below, raw.facebook, keys, ("kind", "target"))
-    return _finish(posts.unionByName(missing).unionByName(replies), F.col("page"), detect, "folder", F.expr("kind <> 'post'"), "line", "place")
+    return _finish(posts.unionByName(missing).unionByName(replies), F.col("page"), detect, "folder", F.expr("kind <> 'post'"), "line", "place", label=F.col("page"), name="page")
 
 
 READERS = {"universal": read_universal, "4chan": read_chan, "Facebook": read_facebook, "Reddit": read_reddit, "Twitter": read_tweets, "threads": read_tweet_threads, "ad_hominem": read_ad_hominem}
 DETECT = langdetect.detect_languages
+
+
+def convert(spark: SparkSession, kind: str, path: str, out: str, shards: int | None = None, per_file: int | None = None, by: str | None = None, **options) -> None:
+    """Raw files of a kind to universal JSON lines."""
+    write_universal(READERS[kind](spark, path, **options), out, shards, per_file, by)
