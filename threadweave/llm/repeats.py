@@ -165,15 +165,10 @@ def context_rows(marked: DataFrame, min_words: int, k: int, kind: str) -> DataFr
     return marked.select("copies", "t", "marks").mapInArrow(run, f"gram bigint, copies array<struct<id:{kind},key:bigint>>, pos int, at int, left string, right string")
 
 
-def words_of(text: str) -> tuple[list[str], list[int]]:
-    """Words of a text, and the places of those that are equal to the one before."""
-    found = list(map(sys.intern, TOKEN.findall(text)))
-    return found, list(compress(range(1, len(found)), map(is_, found, islice(found, 1, None))))
-
-
 def tokens(text: str) -> list[str]:
     """Words of a text; successive equal ones as one, marked with their number."""
-    found, again = words_of(text)
+    found = list(map(sys.intern, TOKEN.findall(text)))
+    again = list(compress(range(1, len(found)), map(is_, found, islice(found, 1, None))))
     if not again:
         return found
     out, done, i = [], 0, 0
@@ -189,11 +184,14 @@ def tokens(text: str) -> list[str]:
 
 def spans(text: str) -> np.ndarray:
     """Begin and end of what ``tokens`` gives."""
-    found, again = words_of(text)
-    ends = np.array([m.end() for m in TOKEN.finditer(text)], np.int32)
-    begins = ends - np.array(list(map(len, found)), np.int32)
-    places = np.array(again, np.int64)
-    return np.stack([np.delete(begins, places), np.delete(ends, places - 1)], axis=1)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.zeros(len(points) + 2, bool)
+    inside[1:-1] = wh.NOT_SPACE[np.minimum(points, 33)]
+    begins, ends = np.flatnonzero(inside[1:-1] & ~inside[:-2]), np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
+    size = ends - begins
+    alike = np.flatnonzero((size[1:] == size[:-1]) & (points[begins[1:]] == points[begins[:-1]])) + 1
+    again = np.array([i for i in alike.tolist() if text[begins[i] : ends[i]] == text[begins[i - 1] : ends[i - 1]]], np.int64)
+    return np.stack([np.delete(begins, again), np.delete(ends, again - 1)], axis=1).astype(np.int32)
 
 
 def common(a: str, b: str) -> int:
