@@ -3,7 +3,7 @@ from collections import Counter
 from math import log
 
 import pytest
-from conftest import post
+from rows import post
 
 from threadweave.operators import entropy, features, stats, vectorize
 

@@ -1,5 +1,5 @@
 import pytest
-from conftest import pairs, post
+from rows import pairs, post
 
 from threadweave.operators import filters, graph, merge, redaction, timing
 

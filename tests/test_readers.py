@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from conftest import post
+from rows import post
 
 from threadweave.sources import raw, readers
 
