@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadweave.functions import harmonic, text
 from threadweave.operators import entropy, graph, merge, stats, timing
+from threadweave.session import cut
 
 KEY = ["convo_id", "uid"]
 MIXING = list(harmonic.KEYS)
@@ -76,6 +77,11 @@ def post_in_convo_features(posts: DataFrame) -> DataFrame:
     return out.select(*KEY, *POST_CATEGORICALS, *CONVO_POST_BOOLS, *[f"`{c}`" for c in CONVO_POST_FLOATS], *ints, "true_degree")
 
 
+def shared_features(posts: DataFrame) -> DataFrame:
+    """``post_in_convo_features``, written once to the checkpoint folder, for aggregates that read it several times."""
+    return cut(post_in_convo_features(posts))
+
+
 def type_frequencies(posts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """``(keys, token, n)``; by author, posts without one are left out."""
     own = posts.where(F.col("author").isNotNull()) if "author" in keys else posts
@@ -113,7 +119,7 @@ def _author_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
 
 def user_numbers(posts: DataFrame, features: DataFrame | None = None) -> DataFrame:
     """``(convo_id, author, feature, value)``: the 320 numbers of each user in a conversation, long."""
-    features = post_in_convo_features(posts) if features is None else features
+    features = shared_features(posts) if features is None else features
     keys = ["convo_id", "author"]
     counted = posts.groupBy(*keys).agg(F.count(F.lit(1)).alias("message_count"))
     types = type_frequencies(posts, ("convo_id", "author")).groupBy(*keys).agg(F.count(F.lit(1)).alias("types"))
@@ -135,7 +141,7 @@ def user_bools(posts: DataFrame) -> DataFrame:
 
 def convo_numbers(posts: DataFrame, features: DataFrame | None = None) -> DataFrame:
     """``(convo_id, feature, value)``: the 1925 numbers of each conversation, long."""
-    features = post_in_convo_features(posts) if features is None else features
+    features = shared_features(posts) if features is None else features
     key = ["convo_id"]
     wide = posts.groupBy("convo_id").agg(F.count(F.lit(1)).alias("messages"), F.count_distinct(F.coalesce(F.concat(F.lit("a"), F.col("author")), F.lit("0"))).alias("users"))
     types = type_frequencies(posts, ("convo_id",)).groupBy("convo_id").agg(F.count(F.lit(1)).alias("types"))
@@ -167,7 +173,7 @@ def convo_distributions(posts: DataFrame) -> DataFrame:
 
 def user_across_numbers(posts: DataFrame, features: DataFrame | None = None) -> DataFrame:
     """``(author, feature, value)``: the 320 numbers of each user over all conversations, long. Null authors are left out."""
-    features = post_in_convo_features(posts) if features is None else features
+    features = shared_features(posts) if features is None else features
     own = features.where(F.col("author").isNotNull())
     merged = merge.posts_across(posts)
     mixed = mixing_features(merged, ("author",))

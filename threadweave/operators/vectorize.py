@@ -33,8 +33,12 @@ def normalized(value: Column, how: str | None) -> Column:
 
 def to_matrix(long: DataFrame, keys: list[str], order: list[str], flags: DataFrame | None = None, flag_names: list[str] | None = None) -> DataFrame:
     """``(keys, features array<double>)`` in a fixed order; flags, not normalized, come last."""
-    packed = long.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("_m"))
-    numbers = F.transform(F.array(*map(F.lit, order)), lambda n: F.element_at(F.col("_m"), n))
+    places = long.sparkSession.createDataFrame(list(enumerate(order)), "_i int, feature string")
+    listed = long.join(F.broadcast(places), "feature").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "value"))).alias("_l"))
+    # where a feature is missing, its place is null
+    gaps = F.transform(F.sequence(F.lit(0), F.lit(len(order) - 1)), lambda i: F.element_at(F.map_from_entries("_l"), i))
+    packed = listed.withColumn("_v", F.when(F.size("_l") == len(order), F.transform("_l", lambda x: x["value"])).otherwise(gaps))
+    numbers = F.col("_v")
     if flags is None:
         return packed.select(*keys, numbers.alias("features"))
     renamed = flags.select(*[F.col(k).alias(f"_f_{k}") for k in keys], F.array(*[F.col(b).cast("double") for b in flag_names or []]).alias("_b"))
@@ -48,6 +52,7 @@ class Vectorizer:
 
     normalization: str | None = None
     stats: DataFrame | None = None
+    held: DataFrame | None = None
     keys: list[str] = field(default_factory=list)
 
     def _long(self, posts: DataFrame) -> DataFrame:
@@ -65,13 +70,13 @@ class Vectorizer:
         if not isinstance(posts, DataFrame):
             raise ValueError("a posts table is needed")
         if self.normalization is not None:
-            self.stats = cut(column_stats(self._long(posts)))
+            self.stats = cut(column_stats(self._long(posts) if self.held is None else self.held))
         return self
 
     def transform(self, posts: DataFrame, include_ids: bool = True) -> DataFrame:
         if not isinstance(posts, DataFrame):
             raise ValueError("a posts table is needed")
-        long = self._long(posts)
+        long = self._long(posts) if self.held is None else self.held
         if self.normalization is not None:
             if self.stats is None:
                 raise ValueError("fit comes before transform")
@@ -80,7 +85,14 @@ class Vectorizer:
         return out if include_ids else out.select("features")
 
     def fit_transform(self, posts: DataFrame, include_ids: bool = True) -> DataFrame:
-        return self.fit(posts).transform(posts, include_ids)
+        """Both, with the features made once."""
+        if not isinstance(posts, DataFrame):
+            raise ValueError("a posts table is needed")
+        self.held = cut(self._long(posts))
+        try:
+            return self.fit(posts).transform(posts, include_ids)
+        finally:
+            self.held = None
 
 
 @dataclass
