@@ -29,12 +29,12 @@ def profile(rows: list[tuple[str, str]], n: int = 3) -> dict[str, Counter]:
     return out
 
 
-def train(texts: DataFrame, per_language: int = 200, chars: int = 2_000) -> dict[str, Counter]:
-    """Profiles from the first ``chars`` characters of ``per_language`` texts (those of the least hash) of each language."""
+def train(texts: DataFrame, per_language: int = 200) -> dict[str, Counter]:
+    """Profiles from ``per_language`` texts of each language, whole, those of the least hash: a bounded sample of labelled rows."""
     from pyspark.sql import Window
 
     order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    sample = texts.where("lang IS NOT NULL AND lang <> 'und' AND text <> ''").select("lang", F.substring("text", 1, chars).alias("text")).withColumn("_n", F.row_number().over(order))
+    sample = texts.where("lang IS NOT NULL AND lang <> 'und' AND text <> ''").select("lang", "text").withColumn("_n", F.row_number().over(order))
     return profile([(r["lang"], r["text"]) for r in sample.where(F.col("_n") <= per_language).collect()])
 
 

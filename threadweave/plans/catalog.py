@@ -97,8 +97,8 @@ named("graph_edges", query("SELECT DISTINCT convo_id, least(child, parent) AS a,
 # -- merges
 
 HALVES = (
-    "halves AS (SELECT convo_id, seq, uid, text, author, sec, 1 AS part FROM posts WHERE seq % 3 < 2 "
-    "UNION ALL SELECT convo_id, seq, uid, substr(text, 1, 40) || '...' AS text, NULL AS author, sec + 5 AS sec, 0 AS part FROM posts WHERE seq % 3 > 0), "
+    "halves AS (SELECT convo_id, seq, uid, text, author, sec, 1 AS part FROM posts WHERE author <> 'system' "
+    "UNION ALL SELECT convo_id, seq, uid, substr(text, 1, 40) || '...' AS text, NULL AS author, sec + 5 AS sec, 0 AS part FROM posts WHERE author <> 'user'), "
     "placed AS (SELECT *, row_number() OVER (PARTITION BY convo_id ORDER BY part, seq) AS n FROM halves)"
 )
 
@@ -111,8 +111,8 @@ HALVES = (
 )
 def merge_union(spark, sf):
     posts = conversation_posts(spark, sf)
-    a = posts.where("seq % 3 < 2")
-    b = posts.where("seq % 3 > 0").withColumns({"text": F.concat(F.substring("text", 1, 40), F.lit("...")), "author": F.lit(None).cast("string"), "created_at": F.col("created_at") + F.expr("interval 5 seconds")})
+    a = posts.where("author <> 'system'")
+    b = posts.where("author <> 'user'").withColumns({"text": F.concat(F.substring("text", 1, 40), F.lit("...")), "author": F.lit(None).cast("string"), "created_at": F.col("created_at") + F.expr("interval 5 seconds")})
     return merge.union_conversations(a, b).select("convo_id", "uid", "text", "author", F.unix_seconds("created_at").alias("sec"))
 
 
