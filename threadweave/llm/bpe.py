@@ -20,7 +20,7 @@ from threadweave.llm import wordhash as wh
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 NEVER = 1 << 60
-KNOWN = 300_000  #: words that a worker remembers; beyond, it starts anew
+KNOWN = 200_000  #: words that a worker remembers; beyond, it starts anew
 
 
 def byte_letters() -> dict[str, int]:
@@ -124,17 +124,16 @@ class MergeAutomaton:
         return [s for _, s, _ in path[1:]] + [state] if path else []
 
 
-def compile_vocabulary(text: str) -> MergeAutomaton:
-    """From the JSON of a byte-level vocabulary with its merges in order."""
+def vocabulary(text: str) -> tuple[list[bytes], list[tuple[int, int, int]]]:
+    """(bytes of every token, merges as ids in order) from the JSON of a byte-level vocabulary."""
     model = json.loads(text)["model"]
     letters, vocab = byte_letters(), model["vocab"]
     labels = [b""] * (max(vocab.values()) + 1)
     for token, i in vocab.items():
         if all(c in letters for c in token):
             labels[i] = bytes(letters[c] for c in token)
-    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-    merges = [(vocab[u], vocab[v], vocab[u + v]) for u, v in pairs]
-    return MergeAutomaton(labels, merges)
+    pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+    return labels, [(vocab[u], vocab[v], vocab[u + v]) for u, v in pairs]
 
 
 @lru_cache(2)
@@ -228,7 +227,12 @@ class Encoder:
 
 @lru_cache(2)
 def _compiled(text: str) -> Encoder:
-    return Encoder(compile_vocabulary(text))
+    return Encoder(MergeAutomaton(*vocabulary(text)))
+
+
+@lru_cache(2)
+def _labels(text: str) -> list[bytes]:
+    return vocabulary(text)[0]
 
 
 def encode_documents(docs: DataFrame, text_col: str = "text", out: str = "tokens", tokenizer: str = TOKENIZER) -> DataFrame:
@@ -274,7 +278,7 @@ def decode_documents(docs: DataFrame, tokens_col: str = "tokens", out: str = "de
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        labels = _compiled(shipped.value).automaton.labels
+        labels = _labels(shipped.value)
         sizes = np.array([len(x) for x in labels])
         starts = np.concatenate([[0], np.cumsum(sizes)])
         text = np.frombuffer(b"".join(labels), np.uint8)
