@@ -48,6 +48,18 @@ def test_fit_is_ordinal():
     assert (tails[:, 0] >= tails[:, 1]).all() and (np.diff(tails[:, 1]) > 0).all()
 
 
+def test_rare_words_of_the_middle_grade_get_weights():
+    rng = np.random.Generator(np.random.PCG64(1))
+    grades = np.repeat([0, 1, 2], [150, 100, 750])
+    # words 500 to 515 occur in six middle rows each, 10 to 39 in all
+    rows = [np.concatenate([rng.choice(np.arange(10, 40), 8, replace=False), [500 + i // 6] if g == 1 and i < 96 else [], [900] if g == 0 else []]) for g in range(3) for i in range((grades == g).sum())]
+    ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    model = quality.fit(np.concatenate(rows).astype(np.int32), ends, grades, 3)
+    assert (model.weights[500:516] < 0).all() and (model.weights[40:500] == 0).all()
+    usual = model.weights[10:40].mean() * 8
+    assert (model.tails(usual + model.weights[500:516])[:, 1] < quality.TAIL).all() and model.tails(np.array([usual]))[0, 1] > quality.TAIL
+
+
 def test_quality_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "fine words"), (3, "fine words"), (None, "x"), (4, "long " * 50_000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"p_best": F.lit("old"), "e": F.lit(1), "_id": F.lit(2)})

@@ -17,7 +17,6 @@ BITS = 18  #: the text is hashed to 2**18 weights
 MAX_LABELLED = 20_000  #: labelled rows that the fit uses at most, those of the least hash of the id
 EPOCHS, BATCH, RATE, L1 = 12, 256, 0.3, 5e-5
 STEPS = 4_000  #: mini-batches at least
-LEAST_ROWS, LEAST_Z = 3, 3.5  #: labelled rows that must have a feature, and standard errors that their mean grade must be off, for it to get a weight
 TAIL = 0.4  #: least probability of the best grade for a document to be selected
 
 _codes = np.arange(256)
@@ -82,17 +81,13 @@ class OrdinalModel:
 
 
 def fit(ids: np.ndarray, ends: np.ndarray, grades: np.ndarray, n_grades: int, epochs: int = EPOCHS, l1: float = L1) -> OrdinalModel:
-    """Maximum likelihood by proximal AdaGrad over mini-batches with an L1 penalty, in an order fixed by a seed, from the cuts that the grades' shares give."""
+    """Maximum likelihood by proximal AdaGrad over mini-batches with an L1 penalty, in an order fixed by a seed, from the cuts that the grades' shares give. Every feature of the rows takes part; which get a weight is left to the penalty."""
     dims = 1 << BITS
-    rows_with = np.bincount(ids, minlength=dims)
-    off = np.bincount(ids, np.repeat(grades - grades.mean(), np.diff(ends)), dims) if len(grades) else np.zeros(dims)
-    common = (rows_with >= LEAST_ROWS) & (np.abs(off) >= LEAST_Z * max(grades.std(), 1e-9) * np.sqrt(rows_with)) if len(grades) else rows_with > 0
-    # only features that get a weight are worked on
-    used = np.flatnonzero(common)
+    # only features that occur are worked on
+    used = np.flatnonzero(np.bincount(ids, minlength=dims))
     place = np.full(dims, -1, np.int64)
     place[used] = np.arange(len(used))
-    kept = place[ids] >= 0
-    ids, ends = place[ids[kept]], np.concatenate([[0], np.cumsum(kept)])[ends]
+    ids = place[ids]
     w, g2 = np.zeros(len(used)), np.full(len(used), 1e-6)
     share = np.cumsum(np.bincount(grades, minlength=n_grades) + 0.5)[:-1] / (len(grades) + 0.5 * n_grades)
     cuts = np.log(share / (1 - share))
