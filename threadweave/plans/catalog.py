@@ -532,6 +532,10 @@ named(
     + "SELECT grp, measure, value, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT grp, '{c}' AS measure, CAST({c} AS VARCHAR) AS value FROM m" for c in ("chars", "tokens", "types"))
     + " UNION ALL SELECT grp, 'tokens-types', tokens || '-' || types FROM m) GROUP BY 1, 2, 3",
 )(lambda spark, sf: metrics.text_histograms(document_posts(spark, sf)))
+named(
+    "token_frequencies",
+    f"WITH {DOCS}, {_DOC_TOK} SELECT grp, token, count(*) AS n FROM (SELECT grp, unnest(t) AS token FROM (SELECT t, {GROUPS} FROM dtok WHERE regexp_matches(text, '{metrics.NOT_BLANK}'))) GROUP BY 1, 2",
+)(lambda spark, sf: metrics.token_frequencies(document_posts(spark, sf)))
 for _cased in (True, False):
     named(
         "text_totals" if _cased else "text_totals_folded",
@@ -567,5 +571,16 @@ _body, _per = _hist("SELECT convo_id, count(*) AS messages, count(DISTINCT lang)
 named("convo_size_histograms", query(_body, _MANY, _per))(lambda spark, sf: metrics.convo_size_histograms(conversation_posts(spark, sf)))
 _body, _per = _hist("SELECT convo_id, CAST(chars AS BIGINT) AS chars, tokens, types FROM (SELECT convo_id, sum(length(text)) AS chars FROM posts GROUP BY 1) JOIN (SELECT convo_id, count(*) AS tokens, count(DISTINCT token) AS types FROM tok GROUP BY 1) USING (convo_id)", ("chars", "tokens", "types"))
 named("convo_text_histograms", query(_body, TOKENS, _MANY, _per))(lambda spark, sf: metrics.convo_text_histograms(conversation_posts(spark, sf)))
+_body, _per = _hist("SELECT convo_id, coalesce(tokens, 0) || '-' || coalesce(types, 0) AS \"tokens-types\" FROM (SELECT DISTINCT convo_id FROM posts) LEFT JOIN (SELECT convo_id, count(*) AS tokens, count(DISTINCT token) AS types FROM tok GROUP BY 1) USING (convo_id)", ("tokens-types",))
+named("convo_novelty_histograms", query(_body.replace("CAST(tokens-types", "CAST(\"tokens-types\""), TOKENS, _MANY, _per))(lambda spark, sf: metrics.convo_novelty_histograms(conversation_posts(spark, sf)))
 _body, _per = _hist("SELECT convo_id, true_degree || '-' || in_degree || '-' || out_degree AS degrees FROM degrees", ("degrees",))
 named("convo_degree_histograms", query(_body, EDGES, DEGREE, _MANY, _per))(lambda spark, sf: metrics.convo_graph_histograms(conversation_posts(spark, sf)).where("measure = 'degrees'"))
+named(
+    "convo_graph_histograms",
+    query(
+        "SELECT grp, measure, value, count(*) AS n FROM (SELECT convo_id, 'tree_depth' AS measure, CAST(tree_depth AS VARCHAR) AS value FROM trees UNION ALL SELECT convo_id, 'tree_width', CAST(tree_width AS VARCHAR) FROM trees "
+        "UNION ALL SELECT convo_id, 'degrees', true_degree || '-' || in_degree || '-' || out_degree FROM degrees) JOIN grps USING (convo_id) GROUP BY 1, 2, 3",
+        EDGES, DEPTH, DEGREE, _MANY,
+        "trees AS (SELECT convo_id, max(depth) AS tree_depth, max(w) AS tree_width FROM (SELECT convo_id, depth, count(*) OVER (PARTITION BY convo_id, depth) AS w FROM depths) GROUP BY 1)",
+    ),
+)(lambda spark, sf: metrics.convo_graph_histograms(conversation_posts(spark, sf)))

@@ -11,6 +11,8 @@ from threadweave.operators.entropy import token_counts
 
 SINCE = "2005-01-01 01:01:01"
 YEAR = 365 * 86_400.0
+#: Any character that ``str.strip`` would leave, in Java and DuckDB alike.
+NOT_BLANK = r"[^\s\x0b\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def memberships(lang: Column) -> Column:
@@ -85,6 +87,12 @@ def text_histograms(posts: DataFrame) -> DataFrame:
     return grouped(own).groupBy("grp", "measure", "value").agg(F.sum("n").alias("n"))
 
 
+def token_frequencies(posts: DataFrame) -> DataFrame:
+    """``(grp, token, n)``: how often posts that aren't blank have each token, as written. Counted per language first, then summed over groups."""
+    own = token_counts(posts.where(F.col("text").rlike(NOT_BLANK)), ("lang",))
+    return grouped(own).groupBy("grp", "token").agg(F.sum("n").alias("n"))
+
+
 def text_totals(posts: DataFrame, cased: bool = True) -> DataFrame:
     """``(grp, chars, tokens, types)``: totals per group, blank posts included; ``cased=False`` folds types."""
     letters = F.col("token") if cased else F.lower("token")
@@ -135,6 +143,14 @@ def convo_text_histograms(posts: DataFrame) -> DataFrame:
     return _histograms(per, posts, ("chars", "tokens", "types"))
 
 
+def convo_novelty_histograms(posts: DataFrame) -> DataFrame:
+    """``(grp, measure, value, n)`` for the pair tokens-types of conversations; 0-0 without any token."""
+    t = token_counts(posts, ("convo_id",)).groupBy("convo_id").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("types"))
+    count = lambda c: F.coalesce(c, F.lit(0))
+    per = posts.select("convo_id").distinct().join(t, "convo_id", "left").select("convo_id", F.concat_ws("-", count("tokens"), count("types")).alias("tokens-types"))
+    return _histograms(per, posts, ("tokens-types",))
+
+
 def convo_graph_histograms(posts: DataFrame) -> DataFrame:
     """``(grp, measure, value, n)`` for depth and width of conversations, and for their posts' degrees as total-in-out."""
     trees = _histograms(graph.tree_metrics(posts), posts, ("tree_depth", "tree_width"))
