@@ -122,11 +122,14 @@ def occurrences(rows, texts):
     return {words[x]: of(x) for x in own}
 
 
+@pytest.mark.parametrize("wide", [repeats.WIDE, 0])
 @pytest.mark.parametrize("seed", range(4))
-def test_repeats_match_brute_force(spark, seed):
+def test_repeats_match_brute_force(spark, seed, wide, monkeypatch):
+    monkeypatch.setattr(repeats, "WIDE", wide)
     rng = random.Random(seed)
     texts = []
     base = [str(rng.randrange(8)) for _ in range(80)]
+    base[20:40] = ["7"] * 20
     for _ in range(25):
         t = []
         for _ in range(rng.randint(1, 4)):
@@ -140,6 +143,53 @@ def test_repeats_match_brute_force(spark, seed):
     assert got == {w: {(d, s) for d, s, _ in places} for w, places in want.items()}
     size = {r["repeat_id"]: r["n_occurrences"] for r in rows}
     assert sorted(size.values()) == sorted(len(p) for p in want.values())
+    full = defaultdict(set)
+    for r in repeats.all_occurrences(spark.createDataFrame(rows)).collect():
+        full[r["repeat_id"]].add((r["doc_id"], r["start"]))
+    assert {x: len(p) for x, p in full.items()} == size
+
+
+def test_a_run_within_a_repeat(spark):
+    rng = random.Random(4)
+    passage = " ".join([prose(rng, 10), "same " * 40, prose(rng, 10)]).split()
+    texts = [" ".join([prose(rng, 20), *passage, prose(rng, 20)]) for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = occurrences(repeats.find_repeats(docs).collect(), texts)
+    assert got == {w: {(d, s) for d, s, _ in p} for w, p in brute_repeats(texts, 45).items()}
+    assert tuple(passage) in got
+
+
+def test_ordered_by_doubling():
+    rng = random.Random(8)
+    for _ in range(200):
+        parts = [[rng.choice("ab") for _ in range(rng.randint(1, 30))] for _ in range(rng.randint(1, 4))]
+        items = [(p, a) for p, x in enumerate(parts) for a in range(len(x)) if rng.random() < 0.7]
+        if not items:
+            continue
+        order, lcp = repeats.doubled(parts, items)
+        suffix = [parts[p][a:] for p, a in items]
+        shared = lambda x, y: next((i for i, (u, v) in enumerate(zip(x, y)) if u != v), min(len(x), len(y)))
+        assert sorted(order) == list(range(len(items)))
+        assert lcp.tolist()[1:] == [shared(suffix[i], suffix[j]) for i, j in zip(order, order[1:])]
+        for i in range(len(order)):  # common prefixes of all pairs are the least between them
+            for j in range(i + 1, len(order)):
+                assert min(lcp[i + 1 : j + 1]) == shared(suffix[order[i]], suffix[order[j]])
+
+
+def test_one_word_over_and_over(spark):
+    texts = ["w " * 30_000, "w " * 20_000 + "end", "x y z " * 5_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = repeats.find_repeats(docs).collect()
+    most = max(r["n_words"] for r in rows if r["doc_id"] == 0)
+    assert most == 29_999 and len(rows) < 70_000
+    kept = {r["doc_id"]: r["text"].split() for r in repeats.drop_repeats(docs).collect()}
+    assert kept == {0: ["w"] * 45, 1: ["end"], 2: (["x", "y", "z"] * 16)[:47]}
+
+
+def test_cut_keeps_columns_and_drops_blank_rows(spark):
+    p = prose(random.Random(1), 60)
+    docs = spark.createDataFrame([(1, p + "\n", 5), (2, p + "\n\t", 6)], "doc_id bigint, text string, _key int")
+    assert [tuple(r) for r in repeats.drop_repeats(docs).collect()] == [(1, p + "\n", 5)]
 
 
 def test_cut_keeps_the_first(spark):
@@ -161,12 +211,13 @@ def test_repeats_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"id": F.lit(1), "t": F.lit("x"), "gram": F.lit(0)})
     got = repeats.find_repeats(docs).collect()
     texts = {(r[0], r[1]) for r in rows}
-    assert {r["doc_id"] for r in got} == {5, 6, 7, 8}
-    assert all(any(d == r["doc_id"] and p.split()[-1] in t[r["start"] : r["end"]] for d, t in texts if t) for r in got)
+    assert {r["doc_id"] for r in got} == {3, 4, 5, 6, 7, 8}
+    assert all(any(d == r["doc_id"] and p.split()[-1] in t[r["start"] : r["end"]] for d, t in texts if t) for r in got if r["doc_id"] > 4)
     assert repeats.find_repeats(docs.limit(0)).count() == 0
     kept = repeats.drop_repeats(docs).collect()
     assert sum((r["text"] or "").count(p) for r in kept if r["doc_id"] is not None) in (1, 2)  # rows that repeat an id and text are cut alike
-    assert {r["doc_id"] for r in kept} >= {None, 1, 2, 3, 4, 5}
+    assert {r["doc_id"] for r in kept} >= {None, 1, 2, 3, 5}
+    assert [r["text"].count("word") for r in kept if r["doc_id"] == 3] == [45] and 4 not in {r["doc_id"] for r in kept}
     with pytest.raises(ValueError):
         repeats.find_repeats(docs, min_words=5, gram=5)
 

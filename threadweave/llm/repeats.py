@@ -13,8 +13,6 @@ import re
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import compress, islice
-from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -27,35 +25,12 @@ from threadweave.session import cut
 
 MIN_WORDS = 45  #: least length of a repeat
 GRAM = 15  #: words of an anchor
+WIDE = 50_000  #: words; a group with more of overlapping contexts is sorted by doubling and not by comparing texts
 TOKEN = re.compile(r"[^\t-\r\x1c-\x20]+")
-_RUN = 0xD6E8FEB86659FD93
 
 
-class Runs:
-    """Words of a chunk of rows, successive equal words as one: bytes ``start`` to ``end``, ``symbol``, rows by ``first``."""
-
-    def __init__(self, data: np.ndarray, at: np.ndarray):
-        found = wh.words(data, at, wh.NOT_SPACE, wh.BYTES_CASED)
-        n = len(found.hash)
-        new = np.ones(n, bool)
-        new[1:] = found.hash[1:] != found.hash[:-1]
-        new[found.first[:-1][found.first[:-1] < n]] = True
-        begin = np.flatnonzero(new)
-        last = np.append(begin[1:], n) - 1 if n else begin
-        self.data, self.offsets = found.data, found.offsets
-        self.start, self.end = found.start[begin], found.end[last] if n else found.end
-        self.symbol = wh.mix(found.hash[begin] + (last - begin + 1).astype(np.uint64) * np.uint64(_RUN))
-        self.first = np.searchsorted(begin, found.first)
-
-
-def windowed(symbols: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every k successive symbols."""
-    n = len(symbols) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    total = np.zeros(len(symbols) + 1, np.uint64)
-    np.cumsum(symbols * wh.powers(wh._BASE, len(symbols)), out=total[1:])
-    return wh.mix((total[k:] - total[:-k]) * wh.powers(wh._INVERSE, n))
+def split(data: np.ndarray, at: np.ndarray) -> wh.Words:
+    return wh.words(data, at, wh.NOT_SPACE, lower=False, apart=False)
 
 
 def sliding(x: np.ndarray, w: int, least: bool) -> np.ndarray:
@@ -74,7 +49,7 @@ def anchors(symbols: np.ndarray, first: np.ndarray, min_words: int = MIN_WORDS,
     n = len(symbols) - k + 1
     if n < w:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    grams = windowed(symbols, k)
+    grams = wh.windowed(symbols, k)
     row_end = np.repeat(first[1:], np.diff(first))
     whole = np.arange(len(symbols)) + min_words <= row_end  # a window may begin here
     lows = np.where(whole[: n - w + 1], sliding(grams, w, True), np.uint64(0))
@@ -87,7 +62,7 @@ def reach_left(symbols: np.ndarray, first: np.ndarray, chosen: np.ndarray, min_w
     """Words before each anchor that matter: down to the nearest lesser gram, which a repeat of this anchor can't begin at or
     before, at most a window, and none beyond the begin of the row."""
     w = min_words - k + 1
-    grams = windowed(symbols, k)
+    grams = wh.windowed(symbols, k)
     most = np.minimum(chosen - first[np.searchsorted(first, chosen, "right") - 1], w)
     out = most.copy()
     for d in range(w, 0, -1):
@@ -109,15 +84,13 @@ def anchor_rows(base: DataFrame, min_words: int, k: int) -> DataFrame:
             keys, texts = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
             data, at = wh.strings(batch.column(2))
             for lo, hi in wh.chunks(at):
-                runs = Runs(data, at[lo : hi + 1])
-                chosen, grams = anchors(runs.symbol, runs.first, min_words, k)
-                row = np.searchsorted(runs.first, chosen, "right") - 1
-                pos = chosen - runs.first[row]
+                found = split(data, at[lo : hi + 1])
+                chosen, grams = anchors(found.hash, found.first, min_words, k)
+                row = np.searchsorted(found.first, chosen, "right") - 1
+                pos = chosen - found.first[row]
                 key = keys[lo + row]
-                left = reach_left(runs.symbol, runs.first, chosen, min_words, k)
-                total = np.zeros(len(runs.symbol) + 1, np.uint64)
-                np.cumsum(runs.symbol * wh.powers(wh._BASE, len(runs.symbol)), out=total[1:])
-                before = wh.mix((total[chosen] - total[chosen - left]) * wh.powers(wh._INVERSE, len(runs.symbol) + 1)[chosen - left] + left.astype(np.uint64))
+                left = reach_left(found.hash, found.first, chosen, min_words, k)
+                before = wh.spans(found.hash, chosen - left, left)
                 start = left == pos
                 before[start] = wh.mix(key[start] + wh.mix(pos[start].astype(np.uint64)))
                 yield pa.RecordBatch.from_arrays(
@@ -128,58 +101,61 @@ def anchor_rows(base: DataFrame, min_words: int, k: int) -> DataFrame:
 
 
 def context_rows(marked: DataFrame, min_words: int, k: int, kind: str) -> DataFrame:
-    """``(gram, copies, pos, at, left, right)`` for the anchors to work on: the words before it that a
-    repeat of its can begin with, and the words from it on as far as a repeat can go: beyond
-    the next anchor that occurs nowhere else there are at most a window and a gram more."""
+    """``(gram, copies, part, word, at, places, lefts, ends)`` for the anchors to work on.
+
+    An anchor's context are the words before it that a repeat of its can begin with, and the words from it on as far as a
+    repeat can go: beyond the next anchor that occurs nowhere else there are at most a window and a gram more. Contexts of
+    one anchor that overlap in a text are one ``part``, so a text of one word over and over is sent once. ``word`` and ``at``
+    are where the part begins in the text; ``places``, ``lefts`` and ``ends`` are words of the part.
+    """
     w = min_words - k + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = wh.strings(batch.column(1))
             for r in range(batch.num_rows):
-                runs = Runs(data, at[r : r + 2])
-                chosen, grams = anchors(runs.symbol, runs.first, min_words, k)
+                found = split(data, at[r : r + 2])
+                chosen, grams = anchors(found.hash, found.first, min_words, k)
                 pos = np.array(batch.column(2)[r].as_py(), np.int64)
                 work = np.unique(np.abs(pos[pos < 0]) - 1)  # written as -1 - pos
                 repeated = np.union1d(work, pos[pos >= 0])
                 alone = chosen[~np.isin(chosen, repeated)]
-                text, n = runs.data.tobytes(), len(runs.symbol)
-                letters = np.concatenate([[0], np.cumsum((runs.data & 0xC0) != 0x80)])
-                stop = np.append(alone, n)[np.searchsorted(alone, work)] + w + k
-                last = runs.end[np.minimum(stop, n) - 1]
-                begin = runs.start[work]
-                left = runs.start[work - reach_left(runs.symbol, runs.first, work, min_words, k)]
+                text, n = found.data.tobytes(), len(found.hash)
+                letters = np.concatenate([[0], np.cumsum((found.data & 0xC0) != 0x80)])
+                stop = np.minimum(np.append(alone, n)[np.searchsorted(alone, work)] + w + k, n)
+                left = reach_left(found.hash, found.first, work, min_words, k)
                 gram = grams[np.searchsorted(chosen, work)]
+                order = np.argsort(gram, kind="stable")
+                work, left, stop, gram = work[order], left[order], stop[order], gram[order]
+                # stops go up with the places, so a part ends where the next context begins beyond its last stop
+                new = np.ones(len(work), bool)
+                new[1:] = (gram[1:] != gram[:-1]) | (work[1:] - left[1:] >= stop[:-1])
+                head = np.flatnonzero(new)
+                owner = np.cumsum(new) - 1
+                first = (work - left)[head]
+                last = stop[np.append(head[1:], len(work)) - 1] if len(work) else stop
+                cuts = pa.array(np.append(head, len(work)), pa.int32())
+                lists = [pa.ListArray.from_arrays(cuts, pa.array((x - first[owner]), pa.int32())) for x in (work, work - left, stop)]
+                begin, end = found.start[first], found.end[last - 1]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(_signed(np.ascontiguousarray(gram))),
-                        batch.column(0).take(pa.array(np.full(len(work), r))),
-                        pa.array(work, pa.int32()),
+                        pa.array(_signed(np.ascontiguousarray(gram[head]))),
+                        batch.column(0).take(pa.array(np.full(len(head), r))),
+                        pa.array([text[a:b].decode() for a, b in zip(begin.tolist(), end.tolist())], pa.string()),
+                        pa.array(first, pa.int32()),
                         pa.array(letters[begin], pa.int32()),
-                        pa.array([text[a:b].decode() for a, b in zip(left.tolist(), begin.tolist())], pa.string()),
-                        pa.array([text[a:b].decode() for a, b in zip(begin.tolist(), last.tolist())], pa.string()),
+                        *lists,
                     ],
-                    names=["gram", "copies", "pos", "at", "left", "right"],
+                    names=["gram", "copies", "part", "word", "at", "places", "lefts", "ends"],
                 )
 
-    return marked.select("copies", "t", "marks").mapInArrow(run, f"gram bigint, copies array<struct<id:{kind},key:bigint>>, pos int, at int, left string, right string")
+    shape = f"gram bigint, copies array<struct<id:{kind},key:bigint>>, part string, word int, at int, places array<int>, lefts array<int>, ends array<int>"
+    return marked.select("copies", "t", "marks").mapInArrow(run, shape)
 
 
 def tokens(text: str) -> list[str]:
-    """Words of a text; successive equal ones as one, marked with their number."""
-    found = list(map(sys.intern, TOKEN.findall(text)))
-    again = list(compress(range(1, len(found)), map(is_, found, islice(found, 1, None))))
-    if not again:
-        return found
-    out, done, i = [], 0, 0
-    while i < len(again):
-        first = last = again[i]
-        while i + 1 < len(again) and again[i + 1] == last + 1:
-            i, last = i + 1, last + 1
-        out += found[done : first - 1]
-        out.append(f"{found[first]}\x01{last - first + 2}")
-        done, i = last + 1, i + 1
-    return out + found[done:]
+    """Words of a text."""
+    return list(map(sys.intern, TOKEN.findall(text)))
 
 
 def spans(text: str) -> np.ndarray:
@@ -187,11 +163,7 @@ def spans(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     inside = np.zeros(len(points) + 2, bool)
     inside[1:-1] = wh.NOT_SPACE[np.minimum(points, 33)]
-    begins, ends = np.flatnonzero(inside[1:-1] & ~inside[:-2]), np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
-    size = ends - begins
-    alike = np.flatnonzero((size[1:] == size[:-1]) & (points[begins[1:]] == points[begins[:-1]])) + 1
-    again = np.array([i for i in alike.tolist() if text[begins[i] : ends[i]] == text[begins[i - 1] : ends[i - 1]]], np.int64)
-    return np.stack([np.delete(begins, again), np.delete(ends, again - 1)], axis=1).astype(np.int32)
+    return np.stack([np.flatnonzero(inside[1:-1] & ~inside[:-2]), np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1], axis=1).astype(np.int32)
 
 
 def common(a: str, b: str) -> int:
@@ -219,6 +191,39 @@ def ordered(texts: list[str]) -> tuple[list[int], np.ndarray]:
     return order, lcp
 
 
+def doubled(parts: list[list[str]], items: list[tuple[int, int]]) -> tuple[list[int], np.ndarray]:
+    """The same for suffixes of parts, given as (part, word), by doubling the prefix that the ranks stand for: overlapping suffixes aren't written out."""
+    known: dict[str, int] = {}
+    base = np.cumsum([0] + [len(p) + 1 for p in parts])
+    symbol = np.empty(base[-1], np.int64)
+    for p, b in zip(parts, base.tolist()):
+        symbol[b : b + len(p)] = [known.setdefault(x, len(known)) for x in p]
+    symbol[base[1:] - 1] = len(known) + np.arange(len(parts))  # a part's end is like no other
+    at = np.array([base[p] + a for p, a in items])
+    rank, levels, step = symbol, [symbol], 1
+    while True:
+        ahead = np.concatenate([rank[step:], np.full(min(step, len(rank)), -1)])
+        order = np.lexsort((ahead, rank))
+        new = np.ones(len(rank), bool)
+        new[1:] = (rank[order[1:]] != rank[order[:-1]]) | (ahead[order[1:]] != ahead[order[:-1]])
+        rank = np.empty_like(rank)
+        rank[order] = np.cumsum(new) - 1
+        if new.all():
+            break
+        levels.append(rank)
+        step *= 2
+    by = np.argsort(rank[at])
+    a, b = at[by[:-1]], at[by[1:]]
+    lcp = np.zeros(len(at), np.int64)
+    for j in reversed(range(len(levels))):
+        level = np.append(levels[j], -1)
+        n = len(levels[j])
+        same = (a < n) & (b < n) & (level[np.minimum(a, n)] == level[np.minimum(b, n)])
+        lcp[1:] += same << j
+        a, b = a + (same << j), b + (same << j)
+    return by.tolist(), lcp
+
+
 def intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
     """(common prefix, first, last) of every interval of a suffix array, by a scan with a stack. Only prefixes of ``least`` on."""
     stack: list[tuple[int, int]] = []
@@ -234,16 +239,24 @@ def intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
 
 def owner(words: list[str], min_words: int, k: int) -> int:
     """Place of the least gram of a repeat's first window (the first of equal ones)."""
-    found = [w.split("\x01") for w in words[:min_words]]
-    data = np.frombuffer(" ".join(w[0] for w in found).encode(), np.uint8)
-    hashed = wh.words(data, np.array([0, len(data)]), wh.NOT_SPACE, wh.BYTES_CASED).hash
-    count = np.array([int(w[1]) if len(w) > 1 else 1 for w in found], np.uint64)
-    return int(windowed(wh.mix(hashed + count * np.uint64(_RUN)), k).argmin())
+    data = np.frombuffer(" ".join(words[:min_words]).encode(), np.uint8)
+    return int(wh.windowed(split(data, np.array([0, len(data)])).hash, k).argmin())
+
+
+@dataclass
+class Context:
+    """An anchor's occurrence in the words of a part: its place, the first word that matters and the end."""
+
+    part: int
+    words: list[str]
+    place: int
+    left: int
+    end: int
 
 
 @dataclass
 class Repeat:
-    """A node: ``words`` before the anchor (``left``) and from it on (``length``), occurrences that no longer repeat has (``own``), and the nodes below."""
+    """A node: words before the anchor (``left``) and from it on (``length``), occurrences that no longer repeat has (``own``), and the nodes below it."""
 
     left: int
     length: int
@@ -253,7 +266,8 @@ class Repeat:
     below: list[Repeat]
     first: int = -1
     above: Repeat | None = None
-    words: list[str] = field(default_factory=list)
+    size: int = 0
+    name: int = 0
 
     def nodes(self) -> Iterator[Repeat]:
         todo = [self]
@@ -262,31 +276,36 @@ class Repeat:
             yield node
             todo += node.below
 
-    @property
-    def size(self) -> int:
-        return self.b - self.a + 1
-
 
-def maximal_repeats(lefts: list[str], rights: list[str], places: list[int], age: list[int], min_words: int, k: int) -> Iterator[Repeat]:
+def maximal_repeats(found: list[Context], whole: list[bool], age: list[int], min_words: int, k: int) -> Iterator[Repeat]:
     """Roots of the trees of all maximal repeats that belong to this anchor.
 
-    ``rights`` are the suffixes at the anchor, ``lefts`` the words before it that matter,
-    ``places`` their numbers of words before the anchor in all. A repeat that begins o words before the anchor is a set of occurrences that agree in o words before it, so
-    for every o at which some differ the suffixes that agree up to there are scanned for intervals; one whose
+    ``whole``: the text begins with the words before the anchor. A repeat that begins o words before the anchor is a set of
+    occurrences that agree in o words before it, so for every o at which some differ the suffixes that agree up to there are scanned for intervals; one whose
     members are not all preceded by one word, and so can't be longer to the left, is maximal.
     Its occurrences are its own and those of the nodes below it, which are longer. ``first``
     is the occurrence of the least ``age``.
     """
     w = min_words - k + 1
-    right_words = {t: tokens(t) for t in set(rights)}
-    plain = {t: " ".join(ws) + " " for t, ws in right_words.items()}
-    order, lcp = ordered([plain[t] for t in rights])
-    if len(rights) < 2 or lcp.max() + w - 1 < min_words:
+    if len(found) < 2:
+        return
+    length = [c.end - c.place for c in found]
+    parts = {c.part: c.words for c in found}
+    if len(parts) < len({(c.part, c.place) for c in found}) and sum(length) > max(WIDE, 2 * sum(map(len, parts.values()))):
+        number = {p: i for i, p in enumerate(parts)}
+        order, lcp = doubled(list(parts.values()), [(number[c.part], c.place) for c in found])
+    else:
+        plain = {(c.part, c.place): " ".join(c.words[c.place : c.end]) + " " for c in found}
+        order, lcp = ordered([plain[c.part, c.place] for c in found])
+    # the two occurrences that copies of a text stand for are the same suffix
+    for i in range(1, len(order)):
+        if (found[order[i]].part, found[order[i]].place) == (found[order[i - 1]].part, found[order[i - 1]].place):
+            lcp[i] = length[order[i]]
+    if lcp.max() + w - 1 < min_words:
         return
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    left_words = [tokens(t)[::-1] for t in lefts]
-    whole = [len(ws) == at for ws, at in zip(left_words, places)]
+    left_words = [c.words[c.left : c.place][::-1] for c in found]
     ends = ["".join(x + " " for x in ws) + (f"\x02{i} " if at_start else "") for i, (ws, at_start) in enumerate(zip(left_words, whole))]
     left_order, left_lcp = ordered(ends)
     for o, lo, hi in intervals(left_lcp.tolist(), 0):
@@ -304,10 +323,10 @@ def maximal_repeats(lefts: list[str], rights: list[str], places: list[int], age:
             continue
         changes = np.concatenate([[0], np.cumsum(child[1:] != child[:-1])])
         roots: list[Repeat] = []
-        for length, a, b in intervals(part.tolist(), need):
+        for size, a, b in intervals(part.tolist(), need):
             if changes[a] == changes[b]:
                 continue
-            node = Repeat(o, length, a, b, [], [])
+            node = Repeat(o, size, a, b, [], [])
             while roots and roots[-1].a >= a:
                 node.below.append(roots.pop())
             begin = a
@@ -318,74 +337,95 @@ def maximal_repeats(lefts: list[str], rights: list[str], places: list[int], age:
             node.first = min((*node.own, *(x.first for x in node.below)), key=age.__getitem__)
             roots.append(node)
         for root in roots:
-            before, after = left_words[root.first][:o][::-1], right_words[rights[root.first]]
+            c = found[root.first]
             # all below begin with the same window, so they belong to the same anchor
-            if owner(before + after[: root.length], min_words, k) == o:
-                for node in root.nodes():
-                    node.words = before + right_words[rights[node.first]][: node.length]
+            if owner(c.words[c.place - o : c.place - o + min_words], min_words, k) == o:
                 yield root
 
 
+def named(root: Repeat, found: list[Context]) -> None:
+    """Name every node by the hash of its words; a node's is carried on from that of the node above."""
+    todo = [(root, xxhash.xxh64(), -root.left)]
+    while todo:
+        node, above, done = todo.pop()
+        c = found[node.first]
+        state = above.copy()
+        state.update("".join(x + " " for x in c.words[c.place + done : c.place + node.length]).encode())
+        name = state.intdigest()
+        node.name = name - (1 << 64) * (name >> 63)
+        todo += [(x, state, node.length) for x in node.below]
+
+
 def repeat_rows(contexts: DataFrame, min_words: int, k: int, kind: str) -> DataFrame:
-    """Rows of ``find_repeats``, and ``cut``: where a cut from ``start`` on must end for all but first occurrences to go."""
+    """Rows of ``find_repeats``, and ``cut_start`` and ``cut``: what must go for all but first occurrences to go."""
 
-    def group(copies: list, places: list, at: list, left: list, right: list) -> Iterator[tuple]:
+    def group(copies: list, parts: list, word: list, at: list, places: list, lefts: list, ends: list) -> Iterator[tuple]:
         # A text with copies takes part twice, as its first copy and as all others: in which repeats
-        # copies of one text are doesn't depend on their number. own: (row, copies)
-        own = []
+        # copies of one text are doesn't depend on their number. own: the copies of each context
+        own, found, whole = [], [], []
         for i, c in enumerate(copies):
             c = sorted((x["id"], x["key"]) for x in c)
-            own += [(i, c[:1]), (i, c[1:])] if len(c) > 1 else [(i, c)]
-        rows = [i for i, _ in own]
-        age = [0] * len(rows)
-        for n, j in enumerate(sorted(range(len(rows)), key=lambda j: (own[j][1][0][0], at[rows[j]], own[j][1][0][1]))):
+            words = tokens(parts[i])
+            for place, left, end in zip(places[i], lefts[i], ends[i]):
+                for which in (c[:1], c[1:]) if len(c) > 1 else (c,):
+                    own.append(which)
+                    found.append(Context(i, words, place, left, end))
+                    whole.append(word[i] + left == 0)
+        age = [0] * len(own)
+        for n, j in enumerate(sorted(range(len(own)), key=lambda j: (own[j][0][0], word[found[j].part] + found[j].place, own[j][0][1]))):
             age[j] = n
-        known: dict[str, np.ndarray] = {}
+        known: dict[int, np.ndarray] = {}
 
-        def place(text: str) -> np.ndarray:
-            if text not in known:
-                known[text] = spans(text)
-            return known[text]
+        def letters(i: int) -> np.ndarray:
+            if i not in known:
+                known[i] = spans(parts[i]) + at[i]
+            return known[i]
 
-        for root in maximal_repeats([left[i] for i in rows], [right[i] for i in rows], [places[i] for i in rows], age, min_words, k):
-            names: dict[int, int] = {}
-            size: dict[int, int] = {}
+        for root in maximal_repeats(found, whole, age, min_words, k):
+            named(root, found)
             nodes = list(root.nodes())
             for node in reversed(nodes):
-                size[id(node)] = sum(len(own[j][1]) for j in node.own) + sum(size[id(x)] for x in node.below)
+                node.size = sum(len(own[j]) for j in node.own) + sum(x.size for x in node.below)
             for node in nodes:
-                name = xxhash.xxh64_intdigest(" ".join(node.words).encode())
-                names[id(node)] = name - (1 << 64) * (name >> 63)
-                above = names[id(node.above)] if node.above else None
+                above = node.above.name if node.above else None
                 for j in node.own or [node.first]:
-                    i = rows[j]
-                    begin = at[i] - len(left[i]) + int(place(left[i])[-node.left][0]) if node.left else at[i]
-                    end = at[i] + int(place(right[i])[node.length - 1][1])
+                    c, where = found[j], letters(found[j].part)
+                    begin, end = int(where[c.place - node.left][0]), int(where[c.place + node.length - 1][1])
                     cutter = node if node.own else None
                     while cutter is not None and cutter.first == j:
                         cutter = cutter.above
-                    first_cut = None if cutter is None else at[i] + int(place(right[i])[cutter.length - 1][1])
-                    for n, (doc, key) in enumerate(own[j][1] if node.own else own[j][1][:1]):
-                        yield names[id(node)], above, len(node.words), size[id(node)], doc, key, begin, end, (end if n else first_cut)
+                    cut_from = cut_to = None
+                    if cutter is not None:
+                        one = found[cutter.first]
+                        # where it overlaps the first, every passage of min_words words stays once
+                        over = one.part == c.part and c.place < one.place + cutter.length + cutter.left and own[j][0] == own[cutter.first][0]
+                        keep = min_words - 1 if over else 0
+                        if keep < node.left + cutter.length:
+                            cut_from, cut_to = int(where[c.place - node.left + keep][0]), int(where[c.place + cutter.length - 1][1])
+                    for n, (doc, key) in enumerate(own[j] if node.own else own[j][:1]):
+                        later = (begin, end) if n else (cut_from, cut_to)
+                        yield node.name, above, node.left + node.length, node.size, doc, key, begin, end, *later
+
+    fields = ("copies", "part", "word", "at", "places", "lefts", "ends")
 
     def flush(held: list[list]) -> pa.RecordBatch | None:
         out = list(group(*held[1:]))
         if not out:
             return None
-        shape = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), types[0], pa.int64(), pa.int32(), pa.int32(), pa.int32())
-        names = ["repeat_id", "parent_id", "n_words", "n_occurrences", "doc_id", "key", "start", "end", "cut"]
+        shape = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), types[0], pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+        names = ["repeat_id", "parent_id", "n_words", "n_occurrences", "doc_id", "key", "start", "end", "cut_start", "cut"]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), shape)], names=names)
 
     types: list = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[] for _ in range(6)]
+        held: list[list] = [[] for _ in range(len(fields) + 1)]
         for batch in batches:
             types[:] = [batch.schema.field(1).type.value_type.field(0).type]
             grams = batch.column(0).to_numpy()
             edges = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])).tolist()
             for a, b in zip(edges, [*edges[1:], len(grams)]):
-                part = [batch.column(c).slice(a, b - a).to_pylist() for c in range(6)]
+                part = [batch.column(c).slice(a, b - a).to_pylist() for c in range(len(fields) + 1)]
                 if held[0] and held[0][0] != part[0][0]:
                     if (made := flush(held)) is not None:
                         yield made
@@ -396,7 +436,7 @@ def repeat_rows(contexts: DataFrame, min_words: int, k: int, kind: str) -> DataF
         if held[0] and (made := flush(held)) is not None:
             yield made
 
-    shape = f"repeat_id bigint, parent_id bigint, n_words int, n_occurrences int, doc_id {kind}, key bigint, start int, end int, cut int"
+    shape = f"repeat_id bigint, parent_id bigint, n_words int, n_occurrences int, doc_id {kind}, key bigint, start int, end int, cut_start int, cut int"
     spread = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return contexts.repartition(spread, "gram").sortWithinPartitions("gram").mapInArrow(run, shape)
 
@@ -407,10 +447,9 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
-    """``(repeat_id, parent_id, n_words, n_occurrences, doc_id, key, start, end, cut)``: all maximal repeats with all occurrences.
+    """``(repeat_id, parent_id, n_words, n_occurrences, doc_id, key, start, end, cut_start, cut)``: all maximal repeats with all occurrences.
 
-    A word is a run of what isn't ASCII white space; a run of one and the same word counts as
-    one word, and repeats cover whole runs (so a text of one word over and over has none). A
+    A word is a run of what isn't ASCII white space, and equal words in a row are words like any others. A
     maximal repeat has at least ``min_words`` words, occurs at least twice, in one document or
     several, and no word can be added on either side in all its occurrences. ``start`` and
     ``end`` are characters of the text, ``key`` tells rows of one id with different texts apart.
@@ -420,7 +459,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeat that begins there and is as long to the left; a repeat's ``n_occurrences`` are its own rows
     and those of the repeats below it. So many near copies, which share ever shorter repeats, give
     rows in proportion to their number and not to its square. A repeat all of whose occurrences
-    are below it has one row, its first. ``cut`` is used by ``drop_repeats``.
+    are below it has one row, its first. ``all_occurrences`` expands the tree; ``cut_start`` and ``cut`` are used by ``drop_repeats``.
 
     Anchors that occur once, and those that are preceded by one and the same window wherever they
     occur (any repeat there begins before it), are left aside before any text is moved. Texts are
@@ -443,26 +482,43 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return repeat_rows(contexts, min_words, gram, kind)
 
 
+def all_occurrences(found: DataFrame) -> DataFrame:
+    """``(repeat_id, doc_id, key, start)``: every occurrence with every repeat that begins there, from the tree of ``find_repeats``.
+
+    Chains of nodes are followed by doubling, so the rounds grow with the logarithm of the depth.
+    """
+    own = found.select("repeat_id", "doc_id", "key", "start")
+    up = cut(found.where("parent_id is not null").select(F.col("repeat_id").alias("low"), F.col("parent_id").alias("high")).distinct())
+    reach, last = up, -1
+    while (now := reach.count()) != last:
+        further = reach.join(reach.select(F.col("low").alias("high"), F.col("high").alias("higher")), "high").select("low", F.col("higher").alias("high"))
+        reach, last = cut(reach.union(further).distinct()), now
+    return own.union(own.join(reach, own["repeat_id"] == reach["low"]).select(F.col("high").alias("repeat_id"), "doc_id", "key", "start")).distinct()
+
+
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
     """``docs`` with every repeated passage cut but for its first occurrence, in order of id and place.
 
     Of each maximal repeat the first occurrence stays, unless it is part of another repeat that
-    occurs before; so each passage stays once. The columns stay as they are; a text that was cut
+    occurs before; so each passage stays once. Where a passage overlaps itself, as in a line that is written over and
+    over, so much stays that every passage of ``min_words`` words is there once. The columns stay as they are; a text that was cut
     and has nothing but white space left goes with its row. Rows that repeat an id and text are
     cut alike. Nulls and empty texts stay.
     """
     found = cut(find_repeats(docs, id_col, text_col, min_words, gram))
-    cuts = found.where("cut is not null").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", F.col("cut").alias("end")))).alias("_cuts")).withColumnRenamed("key", "_key")
-
+    held = "_" * (1 + max(map(len, docs.columns)))  # longer than any column's name
+    key, cuts_at, made, rest = (held + x for x in ("key", "cuts", "made", "rest"))
+    cuts = found.where("cut is not null").groupBy(F.col("key").alias(key)).agg(F.array_sort(F.collect_set(F.struct(F.col("cut_start").alias("start"), F.col("cut").alias("end")))).alias(cuts_at))
+    text = F.col(f"`{text_col}`").cast("string")
     merged = F.aggregate(
-        "_cuts",
+        cuts_at,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda s, c: F.struct(
             F.greatest(s["at"], c["end"]).alias("at"),
-            F.when(c["start"] > s["at"], F.concat(s["out"], F.substring(F.col(f"`{text_col}`"), s["at"] + 1, c["start"] - s["at"]))).otherwise(s["out"]).alias("out"),
+            F.when(c["start"] > s["at"], F.concat(s["out"], F.substring(text, s["at"] + 1, c["start"] - s["at"]))).otherwise(s["out"]).alias("out"),
         ),
     )
-    marked = docs.withColumn("_key", F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"))).join(cuts, "_key", "left").withColumn("_m", F.when(F.col("_cuts").isNotNull(), merged))
-    rest = F.concat(F.col("_m.out"), F.substring(F.col(f"`{text_col}`"), F.col("_m.at") + 1, F.length(F.col(f"`{text_col}`"))))
-    changed = marked.withColumn("_rest", F.when(F.col("_m").isNotNull(), rest)).where(F.col("_rest").isNull() | (F.trim("_rest") != ""))
-    return changed.select(*[F.coalesce("_rest", F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    marked = docs.withColumn(key, F.xxhash64(F.col(f"`{id_col}`"), text)).join(cuts, key, "left").withColumn(made, F.when(F.col(cuts_at).isNotNull(), merged))
+    left = F.concat(F.col(f"{made}.out"), F.substring(text, F.col(f"{made}.at") + 1, F.length(text)))
+    changed = marked.withColumn(rest, F.when(F.col(made).isNotNull(), left)).where(F.col(rest).isNull() | F.col(rest).rlike(r"[^\t-\r\x1c-\x20]"))
+    return changed.select(*[F.coalesce(rest, text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
