@@ -75,7 +75,7 @@ def test_neighbours_recall(spark, sf):
     table = spark.read.parquet(f"{sf}/embeddings.parquet")
     rows = table.orderBy("vec_id").collect()
     x, ids = np.array([r["embedding"] for r in rows]), [r["vec_id"] for r in rows]
-    got = multiindex.nearest(table)
+    got = multiindex.nearest(table, every=1)
     assert recall(found(got), x, ids, multiindex.K) >= 0.9
     one = got.where("rank = 1").limit(5).collect()
     for r in one:
@@ -89,7 +89,7 @@ def test_neighbours_of_clusters_across_blocks(spark, monkeypatch):
     centers = rng.normal(size=(30, 10)) * 5
     x = (centers[rng.integers(0, 30, 700)] + rng.normal(size=(700, 10))).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
-    got = found(multiindex.nearest(df, k=5))
+    got = found(multiindex.nearest(df, k=5, every=1))
     assert recall(got, x.astype(float), list(range(700)), 5) >= 0.9
 
 
@@ -97,12 +97,52 @@ def test_neighbours_odd_rows(spark):
     nan = float("nan")
     rows = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (4, None), (5, [1.0]), (6, [nan, 0.0]), (None, [0.0, 0.0]), (7, [None, 1.0]), (2, [0.0, 0.1])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumns({"id": F.lit(1), "v": F.lit(2), "c1": F.lit(3), "rank": F.lit(4)})
-    got = sorted(tuple(r) for r in multiindex.nearest(df).collect())
+    got = sorted(tuple(r) for r in multiindex.nearest(df, every=1).collect())
     assert got == [(1, 1, 2, 0.01), (1, 2, 3, 1.0), (2, 1, 3, 0.0), (2, 2, 1, 0.01), (3, 1, 2, 0.0), (3, 2, 1, 1.0)]
     assert multiindex.nearest(df.limit(0)).count() == 0
     assert multiindex.nearest(df.where("vec_id = 1")).count() == 0
 
 
+def exact(rows, k, every=1):
+    """The k nearest ids of every query id: least distance of any two of their vectors, then least id."""
+    out = set()
+    for q in {i for i, _ in rows if i % every == 0}:
+        best = {}
+        for i, v in rows:
+            if i != q:
+                d = min(round(sum((a - b) ** 2 for a, b in zip(v, w)), 6) for j, w in rows if j == q)
+                best[i] = min(d, best.get(i, d))
+        out |= {(q, r + 1, n, d) for r, (d, n) in enumerate(sorted((d, n) for n, d in best.items())[:k])}
+    return out
+
+
+def test_ties_and_ids_with_many_vectors(spark, monkeypatch):
+    monkeypatch.setattr(multiindex, "ROWS", 20)
+    monkeypatch.setattr(multiindex, "FOUND", 1.0)
+    rng = random.Random(3)
+    rows = [(i, [float(rng.random() < 0.5) for _ in range(6)]) for i in range(150)]
+    rows += [(200, [0.0, 0.0, 0.0, 0.1 * j, 0.0, 1.0]) for j in range(12)] + [(300, [9.0] * 6), (301, [9.0] * 6), (302, [9.0] * 6)]
+    rows += [(400 + i, [5.0, 5.0, 5.0, 5.0, 5.0, 5.0]) for i in range(60)]
+    df = spark.createDataFrame([(i, v) for i, v in rows], "vec_id bigint, embedding array<float>").repartition(3)
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    # every query is a probe, and the budget holds all its neighbours, so the result is exact
+    assert {tuple(r) for r in multiindex.nearest(df, every=1).collect()} == exact(rows, 10)
+    assert {tuple(r) for r in multiindex.nearest(df, every=50).collect()} == exact(rows, 10, 50)
+
+
+def test_blocks_hold_a_bounded_number():
+    rng = np.random.Generator(np.random.PCG64(2))
+    for _ in range(50):
+        counts = rng.integers(0, 30, (6, 7)) * (rng.random((6, 7)) < 0.7)
+        block, parts = multiindex.blocks(counts, 10)
+        assert (np.diff(block) >= 0).all() and (np.diff(block) <= parts[:-1]).all()
+        held = np.zeros((block + parts).max())
+        for c, b, p in zip(counts.ravel(), block, parts):
+            assert p == 1 or c > 10
+            held[b : b + p] += c / p
+        assert held.max() <= 10
+
+
 def test_traverse_is_in_order():
     rng = np.random.Generator(np.random.PCG64(7))
     for _ in range(20):

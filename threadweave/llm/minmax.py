@@ -71,7 +71,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int = SHINGLE, pe
                 hashes, rows, starts = shingles(found, k)
                 bare = np.flatnonzero((np.diff(found.first) == 0) & (np.diff(found.offsets) > 0))
                 if len(bare):
-                    whole = wh.words(data, at[lo : hi + 1], np.ones(256, bool))
+                    whole = wh.words(data, at[lo : hi + 1], np.ones(256, bool), apart=False)
                     hashes = np.concatenate([hashes, whole.hash[whole.first[bare]]])
                     starts = np.concatenate([starts, len(hashes) - len(bare) + np.arange(len(bare))])
                     rows = np.concatenate([rows, bare])

@@ -59,7 +59,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest neighbours of every embedding."""
+    """The ten nearest neighbours, among all embeddings, of those whose id is divisible by 50."""
     return multiindex.nearest(table(spark, sf_dir, "embeddings"))
 
 

@@ -114,6 +114,7 @@ def words(data: np.ndarray, at: np.ndarray, table: np.ndarray = ALNUM, lower: bo
     edge = at[1:][(at[1:] > 0)] - 1
     ends[edge] = now[edge]
     alone = unspaced(part) if apart else edge[:0]
+    alone = alone[now[alone]]
     if len(alone):
         after = alone + np.where(part[alone] >= 0xF0, 4, 3)
         begins[alone] = True
