@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,7 +11,7 @@ from threadweave.llm import bpe, wordhash
 
 @pytest.fixture(scope="module")
 def encoder():
-    return bpe._compiled(open(bpe.TOKENIZER, encoding="utf-8").read())
+    return bpe.Encoder(bpe.compiled(bpe.TOKENIZER))
 
 
 @pytest.fixture(scope="module")
@@ -72,9 +73,30 @@ def test_automaton_of_random_merges():
                 merges.append((u, v, u + v))
         ids = {x: i for i, x in enumerate(labels)}
         made = bpe.MergeAutomaton(labels, [tuple(ids[x] for x in m) for m in merges])
-        for _ in range(60):
-            word = b"".join(r.choice(letters) for _ in range(r.randint(0, 14)))
-            assert [labels[i] for i in made.encode(word)] == naive(word, rank)
+        words = [b"".join(r.choice(letters) for _ in range(r.randint(1, 14))) for _ in range(60)]
+        for wide in (0, 3, 100):
+            table = made.table(wide)
+            for a in made.made:
+                for b in made.made:
+                    assert bool(table.arcs(np.array([a]), np.array([b]))[0]) == made._arc(a, b)
+            at = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+            tokens, ends = table.encode_words(np.frombuffer(b"".join(words), np.uint8), at[:-1], at[1:])
+            for w, x, y in zip(words, ends[:-1], ends[1:]):
+                assert [labels[i] for i in tokens[x:y]] == [labels[i] for i in table.encode(w)] == naive(w, rank)
+                assert table.decode(tokens[x:y]) == w
+
+
+def test_words_whose_polynomials_are_equal(encoder, library):
+    for n in (1024, 2048, 4096):
+        thue = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+        texts = [thue, thue.translate(str.maketrans("ab", "ba"))]
+        assert encode(encoder, texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_equal_hashes_are_told_apart(encoder, library, monkeypatch):
+    monkeypatch.setattr(wordhash, "hashed", lambda data, start, end: np.zeros(len(start), np.uint64))
+    texts = ["some words and some longer wordings", "some other"]
+    assert encode(encoder, texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_documents(spark, sf):
@@ -86,6 +108,9 @@ def test_documents(spark, sf):
     assert all(r["decoded"] == r["text"] for r in got)
     assert {r["doc_id"]: r["tokens"] for r in got if r["doc_id"] in (2, 3)} == {2: None, 3: []}
     assert bpe.encode_documents(docs.limit(0)).count() == 0
+    named = docs.select(F.lit(1).alias("c1"), F.col("text").alias("c0"), F.lit(2).alias("made"))
+    again = bpe.encode_documents(named, "c0", "c2")
+    assert again.columns == ["c1", "c0", "made", "c2"] and {len(r["c2"] or []) for r in again.collect()} == {len(r["tokens"] or []) for r in got}
     with pytest.raises(Exception, match="without a label"):
         bpe.decode_documents(spark.createDataFrame([([999_999],)], "tokens array<int>")).collect()
     corpus = spark.read.parquet(f"{sf}/documents.parquet")

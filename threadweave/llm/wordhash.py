@@ -86,6 +86,28 @@ def hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
+def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one place of every different word, which of these each word is): found by hash, and equal by their bytes."""
+    _, first, which = np.unique(hashed(data, start, end), return_index=True, return_inverse=True)
+    one = first[which]
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    same = (end - start) == (end - start)[one]
+    at, other, left = start[same], start[one[same]], (end - start)[same]
+    wrong = not same.all()
+    while len(at) and not wrong:
+        keep = np.uint64(64) - (np.minimum(left, 8).astype(np.uint64) << np.uint64(3))
+        wrong = bool(((((eight[at] ^ eight[other]) << keep) != 0) & (left > 0)).any())
+        more = (left > 8) & (at != other)
+        at, other, left = at[more] + 8, other[more] + 8, left[more] - 8
+    if not wrong:
+        return first, which
+    view, known, which = memoryview(np.ascontiguousarray(data)), {}, np.empty(len(start), np.int64)
+    for i, (a, b) in enumerate(zip(start.tolist(), end.tolist())):
+        which[i] = known.setdefault(bytes(view[a:b]), (len(known), i))[0]
+    return np.array([i for _, i in known.values()], np.int64), which
+
+
 def unspaced(part: np.ndarray) -> np.ndarray:
     """Places of the first bytes of letters of scripts without spaces."""
     lead = np.flatnonzero(part >= 0xE0)
