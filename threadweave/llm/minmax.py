@@ -17,6 +17,7 @@ SHINGLE = 3  #: words
 PERMUTATIONS = 64  #: each gives a minimum and a maximum, 128 values in all
 ROWS = 4  #: values in a band, so 32 bands
 THRESHOLD = 0.5  #: estimated Jaccard similarity of two near duplicates
+BLOCK = 8_192  #: signatures of a bucket that a task compares with as many others; larger buckets are compared block by block
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _XOR = _rng.integers(0, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,12 +61,12 @@ def banded(signature: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int = SHINGLE, permutations: int = PERMUTATIONS) -> DataFrame:
-    """``(id, sig binary)``: min-max signatures, 16 bits of each value. Texts without a word are hashed as a whole, empty ones left out."""
+    """``(id, key, sig binary)``: min-max signatures, 16 bits of each value; ``key`` is a hash of id and text. Texts without a word are hashed as a whole, empty ones left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            data, at = wh.strings(batch.column(1))
+            ids, keys = batch.column(0), batch.column(1)
+            data, at = wh.strings(batch.column(2))
             for lo, hi in wh.chunks(at):
                 found = wh.words(data, at[lo : hi + 1])
                 hashes, rows, starts = shingles(found, k)
@@ -76,11 +77,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int = SHINGLE, pe
                     starts = np.concatenate([starts, len(hashes) - len(bare) + np.arange(len(bare))])
                     rows = np.concatenate([rows, bare])
                 if len(rows):
-                    keys = banded(minmax(hashes, starts, permutations))
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows + lo)), pa.array([x.tobytes() for x in keys], pa.binary())], names=["id", "sig"])
+                    made, which = banded(minmax(hashes, starts, permutations)), pa.array(rows + lo)
+                    yield pa.RecordBatch.from_arrays([ids.take(which), keys.take(which), pa.array([x.tobytes() for x in made], pa.binary())], names=["id", "key", "sig"])
 
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).where("id is not null and t <> ''")
-    return given.mapInArrow(run, f"id {dict(given.dtypes)['id']}, sig binary")
+    return given.select("id", F.xxhash64("id", "t").alias("key"), "t").mapInArrow(run, f"id {dict(given.dtypes)['id']}, key bigint, sig binary")
 
 
 def linked(sig: np.ndarray, threshold: float) -> np.ndarray:
@@ -106,28 +107,36 @@ def linked(sig: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``(doc_id, keeper_id)`` for every document that is a near duplicate of another, but for the kept one.
+    """``(doc_id, keeper_id, n_links, key, keeper_key)`` for every document that is a near duplicate of another, but for the kept one.
 
-    Words are runs of letters and digits, ASCII letters in lower case; shingles are of 3 words.
+    Words are runs of letters and digits, ASCII letters in lower case, and single letters of scripts without spaces; shingles are of 3 words.
     Under each of 64 permutations the least and the greatest hash are kept. Two documents are
     candidates if one of the 32 bands of 4 values agrees, and near duplicates if at least half of
     the 128 values do, an unbiased estimate of the Jaccard similarity. Groups are the connected
-    components, and the least id of a group is its keeper.
-
-    Every bucket is worked through whatever its size. Documents of one signature are first merged
-    to one, so thousands of exact copies cost as much as one; in a bucket, rows are compared until
-    each has its component (``linked``). Null ids, null and empty texts are never in a group. Texts
-    of fewer than 3 words have one shingle, those without a word are compared as a whole. Rows that
-    repeat an id count once per text; an id is never its own duplicate. Ties don't occur, as only
-    ids order a group. An empty table gives no rows; other columns are ignored.
+    components, and the least id of a group (of its rows, the least ``key``) is its keeper. ``n_links``: other rows of the same
+    signature, and the other signatures that were compared with it and found alike.
+
+    Documents of one signature are first merged to one, so thousands of exact copies cost as much as one; in a bucket, signatures are compared until
+    each has its component (``linked``). Buckets are only counted where they are grouped, never collected: one of more
+    than ``BLOCK`` signatures is split, and every two of its blocks meet in a task of their own, so none is left out and no task grows.
+    A document is an id with a text: ``key``, a hash of both, tells rows of one id with different texts apart, and
+    rows that repeat both give one row. Null ids, null and empty texts are never in a group. Texts
+    of fewer than 3 words have one shingle, those without a word are compared as a whole. Ties don't occur, as only
+    ids and keys order a group. An empty table gives no rows; other columns are ignored.
     """
     signed = cut(signatures(docs, id_col, text_col))
-    reps = cut(signed.groupBy("sig").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    reps = cut(signed.groupBy("sig").agg(F.min(F.struct("id", "key")).alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("h", F.xxhash64("sig")))
     keys = F.transform(F.sequence(F.lit(0), F.lit(2 * PERMUTATIONS // ROWS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
-    buckets = reps.select("rep", F.explode(keys).alias("band")).groupBy("band").agg(F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)
-    members = buckets.select(F.array_sort("reps").alias("reps")).distinct().select(F.xxhash64("reps").alias("bucket"), F.explode("reps").alias("rep"))
-    filled = members.join(reps.select("rep", "sig"), "rep")
-    kind = dict(reps.dtypes)["rep"]
+    bands = reps.select("h", F.explode(keys).alias("band"))
+    filled = bands.join(bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "band")
+    # buckets of the same members are worked through once
+    marks = filled.groupBy("band").agg(F.bit_xor(F.xxhash64("h", F.lit(1))).alias("a"), F.bit_xor(F.xxhash64("h", F.lit(2))).alias("b"), F.max("size").alias("size"))
+    once = marks.groupBy("a", "b", "size").agg(F.min("band").alias("band")).select("band")
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("h", F.lit(3)), parts.cast("bigint")).cast("int")
+    members = filled.join(once, "band").select("band", "h", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    members = members.select("h", "band", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
+    kind = reps.schema["rep"].dataType.simpleString()
 
     def link(table: pa.Table) -> pa.Table:
         ids = table.column("rep").combine_chunks()
@@ -136,15 +145,30 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         far = label != np.arange(len(label))
         return pa.table({"src": ids.filter(pa.array(far)), "dst": ids.take(pa.array(label[far]))})
 
-    pairs = cut(filled.groupBy("bucket").applyInArrow(link, f"src {kind}, dst {kind}").distinct())
+    compared = members.join(reps.select("h", "rep", "sig"), "h").select("band", "one", "two", "rep", "sig")
+    pairs = cut(compared.groupBy("band", "one", "two").applyInArrow(link, f"src {kind}, dst {kind}").distinct())
     groups = connected_components(pairs)
+    degree = pairs.select(F.explode(F.array("src", "dst")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     owners = reps.where("n > 1").select("rep").unionByName(groups.select(F.col("node").alias("rep"))).distinct()
-    rooted = owners.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("keeper_id"))
-    by_sig = reps.select("sig", "rep").join(rooted, "rep").select("sig", "keeper_id")
-    return signed.select("sig", "id").join(by_sig, "sig").where("id <> keeper_id").select(F.col("id").alias("doc_id"), "keeper_id").distinct()
+    rooted = owners.join(groups.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").select("rep", F.coalesce("component", "rep").alias("keeper"), F.coalesce("links", F.lit(0)).alias("links"))
+    by_sig = reps.select("sig", "rep", "n").join(rooted, "rep").select("sig", "keeper", (F.col("links") + F.col("n") - 1).alias("n_links"))
+    found = signed.join(by_sig, "sig").where("struct(id, key) <> keeper")
+    return found.select(F.col("id").alias("doc_id"), F.col("keeper.id").alias("keeper_id"), "n_links", "key", F.col("keeper.key").alias("keeper_key")).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the near duplicates, one row of each group left: all rows of every keeper's id stay, as do rows with a null id."""
-    gone = near_groups(docs, id_col, text_col, threshold).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """``docs`` without the near duplicates, one row of each group left.
+
+    Of rows that repeat an id and a text one stays, whichever; rows with a null id, a null or an empty text all stay. The columns stay as they are.
+    """
+    gone = near_groups(docs, id_col, text_col, threshold).select("key").distinct()
+    key = "_" * (1 + max(map(len, docs.columns)))  # longer than any column's name
+    text = F.col(f"`{text_col}`").cast("string")
+    whole = F.col(f"`{id_col}`").isNotNull() & text.isNotNull() & (text != "")
+    marked = docs.withColumn(key, F.when(whole, F.xxhash64(F.col(f"`{id_col}`"), text)))
+    kept = marked.join(gone.withColumnRenamed("key", key), key, "left_anti")
+    repeated = cut(marked.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key))
+    if repeated.isEmpty():
+        return kept.drop(key)
+    some, others = kept.join(repeated, key, "left_semi"), kept.join(repeated, key, "left_anti")
+    return others.unionByName(some.dropDuplicates([key])).drop(key)
