@@ -6,13 +6,17 @@ import datetime
 import hashlib
 import math
 import re
+import secrets
+import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = b"replace this key in production"
+KEY = "spark.threadweave.pii.secret"  #: setting of the session that holds the key
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
@@ -40,18 +44,32 @@ def permute(value: int, size: int, key: bytes, tweak: bytes, back: bool = False)
 
 
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
+#: Longest local part and domain aren't limited; what stands before an @ is looked for from there backwards.
+LOCAL, AFTER = re.compile(r"[\w.+%-]"), re.compile(r"@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")
 HEX = ("0123456789abcdef",), ("0123456789ABCDEF",)
 
 
+@lru_cache(4_096)
+def page(c: str) -> str:
+    """The letters or digits of the general category of ``c`` that share its page of 256 code points, or where it is alone there its 4,096."""
+    kind = unicodedata.category(c)
+    for width in (256, 4_096):
+        first = ord(c) // width * width
+        found = "".join(x for x in map(chr, range(first, first + width)) if unicodedata.category(x) == kind and not any(x in a for a in ALPHABETS))
+        if len(found) > 1:
+            break
+    return found
+
+
 def spelled(text: str, key: bytes, tweak: bytes, alphabets: tuple[str, ...] = ALPHABETS, back: bool = False) -> str:
-    """Permute all characters that an alphabet has, each within its own; the others stay."""
+    """Permute all characters that an alphabet has, each within its own; without stated alphabets all other letters and digits
+    within their page. The rest stays."""
     at, value, size = [], 0, 1
     for i, c in enumerate(text):
-        for letters in alphabets:
-            if (k := letters.find(c)) >= 0:
-                at.append((i, letters))
-                value, size = value * len(letters) + k, size * len(letters)
-                break
+        letters = next((a for a in alphabets if c in a), None) or (page(c) if alphabets is ALPHABETS and c.isalnum() else None)
+        if letters:
+            at.append((i, letters))
+            value, size = value * len(letters) + letters.index(c), size * len(letters)
     value = permute(value, size, key, tweak, back)
     out = list(text)
     for i, letters in reversed(at):
@@ -162,7 +180,7 @@ def secret(text: str, key: bytes, back: bool) -> str | None:
 
 #: In this order; what an earlier kind takes is not looked at again.
 KINDS = {
-    "email": (r"[\w.+%-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", email),
+    "email": (AFTER.pattern, email),
     "secret": (r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{64}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{32})(?![0-9A-Za-z])", secret),
     "iban": (r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])", iban),
     "date": (r"(?<![\d.-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\d]|[.-]\d)", date),
@@ -175,38 +193,65 @@ FOUND = {kind: re.compile(p) for kind, (p, _) in KINDS.items()}
 WORTH = re.compile(r"[0-9@]|[0-9A-Fa-f]{32}")
 
 
-def pseudonymise(text: str, key: bytes = KEY, seen: dict | None = None, back: bool = False) -> tuple[str, dict[str, int]]:
+def places(kind: str, text: str) -> Iterator[tuple[int, int]]:
+    """Begin and end of what looks like a value of the kind."""
+    last = 0
+    for m in FOUND[kind].finditer(text):
+        s, e = m.span()
+        if kind == "email":
+            at = s
+            while s > last and LOCAL.match(text, s - 1):
+                s -= 1
+            if s == at:
+                continue
+            last = e
+        yield s, e
+
+
+def pseudonymise(text: str, key: bytes, seen: dict | None = None, back: bool = False) -> tuple[str, dict[str, int]]:
     """The text with every validated value permuted in its format, and how many of each kind. ``back`` undoes it."""
     found: dict[str, int] = {}
     if not WORTH.search(text):
         return text, found
-    taken: list[tuple[int, int, str]] = []
+    begins: list[int] = []
+    taken: list[tuple[int, int, str]] = []  # in order, as ``begins``
     for kind, (_, change) in KINDS.items():
         if kind == "email" and "@" not in text:
             continue
-        for m in FOUND[kind].finditer(text):
-            s, e = m.span()
-            if any(s < y and x < e for x, y, _ in taken):
+        for s, e in places(kind, text):
+            i = bisect_right(begins, s)
+            if (i and taken[i - 1][1] > s) or (i < len(taken) and taken[i][0] < e):
                 continue
-            at = kind, m[0]
+            value = text[s:e]
+            at = kind, value
             new = seen.get(at, "") if seen is not None else ""
             if new == "":
-                new = change(m[0], key, back)
+                new = change(value, key, back)
                 if seen is not None:
                     if len(seen) > 200_000:
                         seen.clear()
                     seen[at] = new
             if new is not None:
-                taken.append((s, e, new))
+                begins.insert(i, s)
+                taken.insert(i, (s, e, new))
                 found[kind] = found.get(kind, 0) + 1
     out, last = [], 0
-    for s, e, new in sorted(taken):
+    for s, e, new in taken:
         out += [text[last:s], new]
         last = e
     return "".join([*out, text[last:]]), found
 
 
-def pseudonymise_docs(docs: DataFrame, text: str = "text", key: bytes = KEY, count: str | None = None) -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session's setting ``KEY`` holds; where it holds none, a random one is made for the session."""
+    held = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
+    if not held:
+        held = secrets.token_hex(32)
+        spark.conf.set(KEY, held)
+    return held.encode()
+
+
+def pseudonymise_docs(docs: DataFrame, text: str = "text", key: bytes | None = None, count: str | None = None) -> DataFrame:
     """``docs`` with the values in its ``text`` column replaced; ``count`` names a column for their number.
 
     Emails, IPv4 addresses, phone numbers, payment cards (Luhn), IBANs (mod 97), social security
@@ -217,6 +262,8 @@ def pseudonymise_docs(docs: DataFrame, text: str = "text", key: bytes = KEY, cou
     columns in their order; null texts stay null with the number 0, empty texts empty; a column
     called as ``count`` is replaced. Narrow: no shuffle, and no cap on a text's length.
     """
+    key = session_key(docs.sparkSession) if key is None else key
+
     @F.pandas_udf("x string, n int")
     def change(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         seen: dict = {}
