@@ -9,9 +9,13 @@ from threadweave.llm import bpe, chat, minmax, multiindex, packing, pii, quality
 from threadweave.session import table
 
 
+#: Words of hosts that the operator of a crawl has blocked: the rated part that the URL filter learns from.
+BLOCKED = ("casino", "free-bets", "cheap-pills", "spam-farm", "adult", "ads-track")
+
+
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of documents, each with the one that is kept."""
-    return minmax.near_groups(table(spark, sf_dir, "documents"))
+    return minmax.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "keeper_id", "n_links")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +27,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and decision for the URL of every page."""
-    return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
+    return urlfilter.filter_urls(table(spark, sf_dir, "pages"), urlfilter.host_label(F.col("url"), BLOCKED))
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +85,7 @@ QUERIES = {
     "op10_repeats": op10_repeats,
 }
 ORACLES = {
-    "op3_urls": urlfilter.urlfilter_sql(),
+    "op3_urls": urlfilter.urlfilter_sql(BLOCKED),
     "op4_topk": topk.topk_sql(),
     "op5_packing": packing.packing_sql(),
 }
