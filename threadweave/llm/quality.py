@@ -131,23 +131,25 @@ def grade(quality: Column, toxic: Column) -> Column:
 def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", max_labelled: int = MAX_LABELLED) -> OrdinalModel:
     """Fit on the documents that ``ratings`` grades (whole numbers from 0; null grades and ids are left out).
 
-    An id rated more than once counts with its least grade. At most ``max_labelled`` ids are
-    used, those whose hashes are least, so the driver gets a bounded number of rows whatever the
-    size of the corpus. Without any rated document every weight is 0. A rated id that occurs with
-    several texts gives a row for each.
+    An id rated more than once counts with its least grade, and one that occurs with several texts with the text of the least hash. At most ``max_labelled`` ids are
+    used, those whose hashes are least, so the driver gets at most that many rows whatever the
+    size of the corpus. Without any rated document every weight is 0.
     """
     rated = ratings.where(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(grade_col).cast("int").alias("_grade"))
     sample = rated.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
-    given = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(sample), "_id").select("_id", "_text", "_grade")
+    given = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(sample), "_id").select("_id", "_text", "_grade", F.xxhash64("_text").alias("_hash"))
+    kind = dict(given.dtypes)["_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = wh.strings(batch.column(1))
             for lo, hi in wh.chunks(at):
                 ids, ends = features(data, at[lo : hi + 1])
-                yield pa.RecordBatch.from_arrays([batch.column(2).slice(lo, hi - lo), pa.array([ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())], names=["g", "f"])
+                held = [batch.column(i).slice(lo, hi - lo) for i in (0, 3, 2)]
+                yield pa.RecordBatch.from_arrays([*held, pa.array([ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())], names=["id", "h", "g", "f"])
 
-    rows = given.mapInArrow(run, "g int, f binary").toArrow()
+    made = given.mapInArrow(run, f"id {kind}, h bigint, g int, f binary")
+    rows = made.groupBy("id").agg(F.min(F.struct("h", "g", "f")).alias("x")).select("x.g", "x.f").toArrow()
     if rows.num_rows == 0:
         return OrdinalModel(np.zeros(1 << BITS, np.float32), np.zeros(2))
     frame = rows.sort_by([("g", "ascending"), ("f", "ascending")])
