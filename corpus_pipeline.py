@@ -1,4 +1,9 @@
-"""Documents to training sequences: five stages, each on all that the one before kept."""
+"""Documents to training sequences: five stages, each on all that the one before kept.
+
+Every stage takes and returns the columns of ``documents`` (the last adds a piece's place); extra columns go along whatever
+their names. Rows with a null id or text that a stage doesn't look at stay; ``run`` cuts the lineage
+after each stage, so none is worked through twice.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ from pyspark.sql import functions as F
 
 from threadweave.llm import minmax, packing, pii, quality, repeats
 from threadweave.llm.queries import rated
-from threadweave.session import reach, table
+from threadweave.session import cut, reach, table
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +42,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its bin, its place in it, and its text."""
     reach(spark)
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_key"))
     placed = packing.harmonic_pack(keyed, keep=("_key",))
     texts = keyed.select("_key", F.col("text").alias("_text")).dropDuplicates(["_key"])
     piece = F.substr("_text", (F.col("start") + 1).cast("int"), F.col("length").cast("int"))
@@ -64,6 +69,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
