@@ -48,6 +48,40 @@ def test_fit_is_ordinal():
     assert (tails[:, 0] >= tails[:, 1]).all() and (np.diff(tails[:, 1]) > 0).all()
 
 
+def test_fit_reaches_the_maximum_likelihood():
+    """Against Newton's method with numerical derivatives on the likelihood as it is written in textbooks."""
+    rng = np.random.Generator(np.random.PCG64(4))
+    true, cuts = np.array([1.2, -0.8, 0.5, 0.0]), np.array([-0.7, 0.9])
+    x = (rng.random((3000, 4)) < 0.4).astype(float)
+    p = 1 / (1 + np.exp(x @ true[:, None] - cuts[None, :]))
+    grades = (rng.random(3000)[:, None] > p).sum(axis=1)
+
+    def loss(theta):
+        below = np.column_stack([np.zeros(3000), 1 / (1 + np.exp(x @ theta[:4, None] - theta[None, 4:])), np.ones(3000)])
+        return -np.log(below[np.arange(3000), grades + 1] - below[np.arange(3000), grades]).mean()
+
+    theta, step = np.array([0.0, 0, 0, 0, -0.5, 0.5]), 1e-4
+    unit = np.eye(6) * step
+    for _ in range(12):
+        gradient = np.array([(loss(theta + u) - loss(theta - u)) / (2 * step) for u in unit])
+        hessian = np.array([[(loss(theta + u + v) - loss(theta + u - v) - loss(theta - u + v) + loss(theta - u - v)) / (4 * step**2) for v in unit] for u in unit])
+        theta = theta - np.linalg.solve(hessian, gradient)
+    rows = [np.flatnonzero(r) for r in x]
+    model = quality.fit(np.concatenate(rows).astype(np.int32), np.concatenate([[0], np.cumsum([len(r) for r in rows])]), grades, 3, l1=0.0)
+    found = np.concatenate([model.weights[:4], model.cuts])
+    assert np.abs(found - theta).max() < 0.1 and loss(found) - loss(theta) < 1e-3
+
+
+def test_labelled_rows_are_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 30, f"word{i} text") for i in range(900)], "doc_id bigint, text string")
+    ratings = spark.createDataFrame([(i, i % 3) for i in range(30)], "doc_id bigint, grade int")
+    got = []
+    monkeypatch.setattr(quality, "fit", lambda ids, ends, grades, n, **_: got.append(len(grades)) or quality.OrdinalModel(np.zeros(1 << quality.BITS, np.float32), np.zeros(2)))
+    quality.train(docs, ratings)
+    quality.train(docs, ratings, max_labelled=10)
+    assert got == [30, 10]
+
+
 def test_rare_words_of_the_middle_grade_get_weights():
     rng = np.random.Generator(np.random.PCG64(1))
     grades = np.repeat([0, 1, 2], [150, 100, 750])

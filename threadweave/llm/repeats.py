@@ -26,6 +26,7 @@ from threadweave.session import cut
 MIN_WORDS = 45  #: least length of a repeat
 GRAM = 15  #: words of an anchor
 WIDE = 50_000  #: words; a group with more of overlapping contexts is sorted by doubling and not by comparing texts
+FIELDS = ("copies", "part", "word", "at", "places", "lefts", "ends", "lows", "highs")
 TOKEN = re.compile(r"[^\t-\r\x1c-\x20]+")
 
 
@@ -58,17 +59,25 @@ def anchors(symbols: np.ndarray, first: np.ndarray, min_words: int = MIN_WORDS,
     return chosen, grams[chosen]
 
 
-def reach_left(symbols: np.ndarray, first: np.ndarray, chosen: np.ndarray, min_words: int = MIN_WORDS, k: int = GRAM) -> np.ndarray:
-    """Words before each anchor that matter: down to the nearest lesser gram, which a repeat of this anchor can't begin at or
-    before, at most a window, and none beyond the begin of the row."""
+def owned(symbols: np.ndarray, first: np.ndarray, chosen: np.ndarray, min_words: int = MIN_WORDS, k: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words before each anchor that matter, least and greatest number of words before it that its repeats begin at).
+
+    A repeat belongs to the anchor that is the first of the least grams of its first window. So it doesn't begin at or before
+    the nearest gram to the left that isn't greater, nor so late that a lesser gram to the right is in its window.
+    """
     w = min_words - k + 1
     grams = wh.windowed(symbols, k)
-    most = np.minimum(chosen - first[np.searchsorted(first, chosen, "right") - 1], w)
-    out = most.copy()
+    row = np.searchsorted(first, chosen, "right") - 1
+    before, after = chosen - first[row], first[row + 1] - chosen - k  # words before, grams after it in its row
+    left, high, low = np.minimum(before, w), np.minimum(before, w - 1), np.zeros(len(chosen), np.int64)
+    mine = grams[chosen]
     for d in range(w, 0, -1):
-        lesser = (d <= most) & (grams[np.maximum(chosen - d, 0)] < grams[chosen])
-        out[lesser] = d
-    return out
+        near = (d <= before) & (grams[np.maximum(chosen - d, 0)] <= mine)
+        left[near], high[near] = d, d - 1
+        if d < w:
+            lesser = (d <= after) & (grams[np.minimum(chosen + d, len(grams) - 1)] < mine)
+            low[lesser] = w - d
+    return left, low, high
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -89,7 +98,7 @@ def anchor_rows(base: DataFrame, min_words: int, k: int) -> DataFrame:
                 row = np.searchsorted(found.first, chosen, "right") - 1
                 pos = chosen - found.first[row]
                 key = keys[lo + row]
-                left = reach_left(found.hash, found.first, chosen, min_words, k)
+                left, _, _ = owned(found.hash, found.first, chosen, min_words, k)
                 before = wh.spans(found.hash, chosen - left, left)
                 start = left == pos
                 before[start] = wh.mix(key[start] + wh.mix(pos[start].astype(np.uint64)))
@@ -101,12 +110,12 @@ def anchor_rows(base: DataFrame, min_words: int, k: int) -> DataFrame:
 
 
 def context_rows(marked: DataFrame, min_words: int, k: int, kind: str) -> DataFrame:
-    """``(gram, copies, part, word, at, places, lefts, ends)`` for the anchors to work on.
+    """``(gram, copies, part, word, at, places, lefts, ends, lows, highs)`` for the anchors to work on.
 
     An anchor's context are the words before it that a repeat of its can begin with, and the words from it on as far as a
     repeat can go: beyond the next anchor that occurs nowhere else there are at most a window and a gram more. Contexts of
     one anchor that overlap in a text are one ``part``, so a text of one word over and over is sent once. ``word`` and ``at``
-    are where the part begins in the text; ``places``, ``lefts`` and ``ends`` are words of the part.
+    are where the part begins in the text; ``places``, ``lefts`` and ``ends`` are words of the part, ``lows`` and ``highs`` what ``owned`` gives.
     """
     w = min_words - k + 1
 
@@ -123,10 +132,10 @@ def context_rows(marked: DataFrame, min_words: int, k: int, kind: str) -> DataFr
                 text, n = found.data.tobytes(), len(found.hash)
                 letters = np.concatenate([[0], np.cumsum((found.data & 0xC0) != 0x80)])
                 stop = np.minimum(np.append(alone, n)[np.searchsorted(alone, work)] + w + k, n)
-                left = reach_left(found.hash, found.first, work, min_words, k)
+                left, low, high = owned(found.hash, found.first, work, min_words, k)
                 gram = grams[np.searchsorted(chosen, work)]
                 order = np.argsort(gram, kind="stable")
-                work, left, stop, gram = work[order], left[order], stop[order], gram[order]
+                work, left, stop, gram, low, high = (x[order] for x in (work, left, stop, gram, low, high))
                 # stops go up with the places, so a part ends where the next context begins beyond its last stop
                 new = np.ones(len(work), bool)
                 new[1:] = (gram[1:] != gram[:-1]) | (work[1:] - left[1:] >= stop[:-1])
@@ -135,7 +144,7 @@ def context_rows(marked: DataFrame, min_words: int, k: int, kind: str) -> DataFr
                 first = (work - left)[head]
                 last = stop[np.append(head[1:], len(work)) - 1] if len(work) else stop
                 cuts = pa.array(np.append(head, len(work)), pa.int32())
-                lists = [pa.ListArray.from_arrays(cuts, pa.array((x - first[owner]), pa.int32())) for x in (work, work - left, stop)]
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(x, pa.int32())) for x in (work - first[owner], work - left - first[owner], stop - first[owner], low, high)]
                 begin, end = found.start[first], found.end[last - 1]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -146,10 +155,10 @@ def context_rows(marked: DataFrame, min_words: int, k: int, kind: str) -> DataFr
                         pa.array(letters[begin], pa.int32()),
                         *lists,
                     ],
-                    names=["gram", "copies", "part", "word", "at", "places", "lefts", "ends"],
+                    names=["gram", *FIELDS],
                 )
 
-    shape = f"gram bigint, copies array<struct<id:{kind},key:bigint>>, part string, word int, at int, places array<int>, lefts array<int>, ends array<int>"
+    shape = f"gram bigint, copies array<struct<id:{kind},key:bigint>>, part string, word int, at int, places array<int>, lefts array<int>, ends array<int>, lows array<int>, highs array<int>"
     return marked.select("copies", "t", "marks").mapInArrow(run, shape)
 
 
@@ -237,21 +246,17 @@ def intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
             stack.append((now, low))
 
 
-def owner(words: list[str], min_words: int, k: int) -> int:
-    """Place of the least gram of a repeat's first window (the first of equal ones)."""
-    data = np.frombuffer(" ".join(words[:min_words]).encode(), np.uint8)
-    return int(wh.windowed(split(data, np.array([0, len(data)])).hash, k).argmin())
-
-
 @dataclass
 class Context:
-    """An anchor's occurrence in the words of a part: its place, the first word that matters and the end."""
+    """An anchor's occurrence in the words of a part: its place, the first word that matters and the end, and how many words before it repeats of its can begin."""
 
     part: int
     words: list[str]
     place: int
     left: int
     end: int
+    low: int
+    high: int
 
 
 @dataclass
@@ -305,6 +310,7 @@ def maximal_repeats(found: list[Context], whole: list[bool], age: list[int], min
         return
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
+    low, high = np.array([c.low for c in found]), np.array([c.high for c in found])
     left_words = [c.words[c.left : c.place][::-1] for c in found]
     ends = ["".join(x + " " for x in ws) + (f"\x02{i} " if at_start else "") for i, (ws, at_start) in enumerate(zip(left_words, whole))]
     left_order, left_lcp = ordered(ends)
@@ -314,10 +320,15 @@ def maximal_repeats(found: list[Context], whole: list[bool], age: list[int], min
             continue
         members = np.array(left_order[lo : hi + 1])
         child = np.concatenate([[0], np.cumsum(left_lcp[lo + 1 : hi + 1] == o)])
+        # those with one window belong to the anchor together or not at all
+        ours = (low[members] <= o) & (high[members] >= o)
+        members, child = members[ours], child[ours]
+        if len(members) < 2:
+            continue
         by = np.argsort(rank[members])
         members, child = members[by], child[by]
         at = rank[members]
-        part = np.concatenate([[0], np.minimum.reduceat(lcp[: at[-1] + 1], at[:-1] + 1)]) if len(at) > 1 else np.zeros(1, np.int64)
+        part = np.concatenate([[0], np.minimum.reduceat(lcp[: at[-1] + 1], at[:-1] + 1)])
         need = max(min_words - o, k)
         if part.max() < need:
             continue
@@ -336,11 +347,7 @@ def maximal_repeats(found: list[Context], whole: list[bool], age: list[int], min
             node.own += members[begin : b + 1].tolist()
             node.first = min((*node.own, *(x.first for x in node.below)), key=age.__getitem__)
             roots.append(node)
-        for root in roots:
-            c = found[root.first]
-            # all below begin with the same window, so they belong to the same anchor
-            if owner(c.words[c.place - o : c.place - o + min_words], min_words, k) == o:
-                yield root
+        yield from roots
 
 
 def named(root: Repeat, found: list[Context]) -> None:
@@ -359,17 +366,17 @@ def named(root: Repeat, found: list[Context]) -> None:
 def repeat_rows(contexts: DataFrame, min_words: int, k: int, kind: str) -> DataFrame:
     """Rows of ``find_repeats``, and ``cut_start`` and ``cut``: what must go for all but first occurrences to go."""
 
-    def group(copies: list, parts: list, word: list, at: list, places: list, lefts: list, ends: list) -> Iterator[tuple]:
+    def group(copies: list, parts: list, word: list, at: list, places: list, lefts: list, ends: list, lows: list, highs: list) -> Iterator[tuple]:
         # A text with copies takes part twice, as its first copy and as all others: in which repeats
         # copies of one text are doesn't depend on their number. own: the copies of each context
         own, found, whole = [], [], []
         for i, c in enumerate(copies):
             c = sorted((x["id"], x["key"]) for x in c)
             words = tokens(parts[i])
-            for place, left, end in zip(places[i], lefts[i], ends[i]):
+            for place, left, end, low, high in zip(places[i], lefts[i], ends[i], lows[i], highs[i]):
                 for which in (c[:1], c[1:]) if len(c) > 1 else (c,):
                     own.append(which)
-                    found.append(Context(i, words, place, left, end))
+                    found.append(Context(i, words, place, left, end, low, high))
                     whole.append(word[i] + left == 0)
         age = [0] * len(own)
         for n, j in enumerate(sorted(range(len(own)), key=lambda j: (own[j][0][0], word[found[j].part] + found[j].place, own[j][0][1]))):
@@ -406,8 +413,6 @@ def repeat_rows(contexts: DataFrame, min_words: int, k: int, kind: str) -> DataF
                         later = (begin, end) if n else (cut_from, cut_to)
                         yield node.name, above, node.left + node.length, node.size, doc, key, begin, end, *later
 
-    fields = ("copies", "part", "word", "at", "places", "lefts", "ends")
-
     def flush(held: list[list]) -> pa.RecordBatch | None:
         out = list(group(*held[1:]))
         if not out:
@@ -419,13 +424,13 @@ def repeat_rows(contexts: DataFrame, min_words: int, k: int, kind: str) -> DataF
     types: list = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[] for _ in range(len(fields) + 1)]
+        held: list[list] = [[] for _ in range(len(FIELDS) + 1)]
         for batch in batches:
             types[:] = [batch.schema.field(1).type.value_type.field(0).type]
             grams = batch.column(0).to_numpy()
             edges = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])).tolist()
             for a, b in zip(edges, [*edges[1:], len(grams)]):
-                part = [batch.column(c).slice(a, b - a).to_pylist() for c in range(len(fields) + 1)]
+                part = [batch.column(c).slice(a, b - a).to_pylist() for c in range(len(FIELDS) + 1)]
                 if held[0] and held[0][0] != part[0][0]:
                     if (made := flush(held)) is not None:
                         yield made
