@@ -108,3 +108,42 @@ def test_facebook_files(spark, tmp_path):
     readers.convert(spark, "Facebook", str(tmp_path) + "/", str(tmp_path / "out"), by="page")
     assert (tmp_path / "out" / "page=pg").is_dir()
     assert got["c"]["convo_id"] == got["1"]["convo_id"] == "CONV_1" and got["r"]["reply_to"] == ["2"]
+
+
+def test_file_order_is_kept(spark, tmp_path):
+    tweets = [{"id": 100 - i, "text": f"t{i}", "user": {"screen_name": f"u{i}"}, "in_reply_to_status_id": 100 if i else None} for i in range(8)]
+    (tmp_path / "t.json").write_text("\n".join(map(json.dumps, tweets)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+    try:
+        for reader, name in ((readers.read_tweets, "t"),):
+            rows = reader(spark, str(tmp_path / name)).collect()
+            assert [r["text"] for r in sorted(rows, key=lambda r: r["seq"])] == [f"t{i}" for i in range(8)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_the_first_line_of_an_id_names_the_author(spark, tmp_path):
+    lines = [{"id": 1, "text": "same", "user": {"screen_name": name}} for name in ("zoe", "amy", "bob")]
+    (tmp_path / "t.json").write_text("\n".join(map(json.dumps, lines)))
+    (row,) = readers.read_tweets(spark, str(tmp_path / "t")).collect()
+    assert row["author"] == "zoe"
+
+
+def test_equal_lines_are_two_conversations(spark, tmp_path):
+    line = json.dumps([{"uid": 1, "text": "t", "created_at": 0, "platform": "Reddit"}])
+    (tmp_path / "x.json").write_text(line + "\n" + line + "\n")
+    assert readers.read_universal(spark, str(tmp_path / "x")).count() == 2
+
+
+def test_no_window_over_a_pool(spark, tmp_path):
+    (tmp_path / "t.json").write_text(json.dumps({"id": 1, "text": "t"}))
+    plan = readers.read_tweets(spark, str(tmp_path / "t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and "windowspecdefinition(convo_id" in plan
+
+
+def test_writing_over_something_must_be_asked_for(spark, make, tmp_path):
+    posts = make(post(0, text="a"))
+    readers.write_universal(posts, str(tmp_path / "out"))
+    with pytest.raises(Exception, match="already exists"):
+        readers.write_universal(posts, str(tmp_path / "out"))
+    readers.write_universal(posts, str(tmp_path / "out"), mode="overwrite")

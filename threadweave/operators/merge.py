@@ -15,10 +15,10 @@ def _first(column: str) -> Column:
 
 def merge_posts(posts: DataFrame, keys: tuple[str, ...] = ("convo_id", "uid")) -> DataFrame:
     """One post per key: the longest text (of equal ones the first), the first author, language and
-    platform that aren't null, the earliest time, and the unions of reply targets and tags."""
+    platform that aren't null, the earliest time, and the unions of reply targets and tags. ``seq`` may be of any type that has an order."""
     merged = posts.groupBy(*keys).agg(
         F.min("seq").alias("seq"),
-        F.max_by("text", F.struct(F.length("text"), -F.col("seq"))).alias("text"),
+        F.min_by("text", F.struct(F.coalesce(-F.length("text"), F.lit(1)), "seq")).alias("text"),
         _first("author").alias("author"),
         F.min("created_at").alias("created_at"),
         F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "reply_to"))), lambda x: x["reply_to"]))).alias("reply_to"),

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Protocol
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,21 +25,27 @@ class Reader(Protocol):
 _POOL = "\x01pool="
 
 
-def _finish(rows: DataFrame, pool: Column, detect: Callable[[DataFrame], DataFrame] | None, *order: str, label: Column | None = None, name: str = "pool") -> DataFrame:
-    """Number, merge by id within a pool, detect languages, and cut into components. ``label`` of a pool becomes the column ``name``."""
+def _finish(rows: DataFrame, pool: Column, detect: Callable[[DataFrame], DataFrame] | None, *order: str | Column, label: Column | None = None, name: str = "pool") -> DataFrame:
+    """Merge by id within a pool, detect languages, cut into components, and number the posts of each in order. ``label`` of a pool becomes the column ``name``.
+
+    The order of insertion is a text that sorts like ``order``, so no pool, however large, is put in order as a whole."""
     if label is not None:
         kept = _finish(rows.withColumn("tags", F.array_union("tags", F.array(F.concat(F.lit(_POOL), label)))), pool, detect, *order)
         own = F.filter("tags", lambda t: t.startswith(_POOL))
         return kept.withColumn(name, F.replace(own[0], F.lit(_POOL), F.lit(""))).withColumn("tags", F.array_except("tags", own))
-    numbered = rows.withColumn("convo_id", pool).withColumn("seq", F.row_number().over(Window.partitionBy("convo_id").orderBy(*order)).cast("bigint"))
-    merged = merge_posts(numbered.select(*COLUMNS))
-    return segment(detect(merged) if detect else merged)
+    columns = [F.col(c) if isinstance(c, str) else c for c in order]
+    parts = [F.lpad(c.cast("string"), 10, "0") if isinstance(o, str) and o == "place" else c.cast("string") for o, c in zip(order, columns)]
+    placed = rows.withColumn("convo_id", pool).withColumn("seq", F.concat_ws("\x01", *parts))
+    merged = merge_posts(placed.select(*COLUMNS))
+    cut_up = segment(detect(merged) if detect else merged)
+    return cut_up.withColumn("seq", F.row_number().over(Window.partitionBy("convo_id").orderBy("seq", "uid")).cast("bigint"))
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(value, file, line)``; lines are told apart by file and content, which is all that merging needs."""
-    lines = reach(spark).read.text(path).where(F.trim("value") != "").withColumn("file", F.input_file_name())
-    return lines.withColumn("line", F.concat_ws("\x01", "file", F.hex(F.xxhash64("value"))))
+    """``(value, file, line)``; ``line`` is a text that sorts lines by file and place in it: rows of a block of a file come in order, so their running numbers have it."""
+    lines = reach(spark).read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    digits = lambda c: F.lpad(F.col(c).cast("string"), 19, "0")
+    return lines.where(F.trim("value") != "").select("value", "file", F.concat_ws("\x01", "file", digits("block"), digits("n")).alias("line"))
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -74,15 +79,15 @@ def universal_json(posts: DataFrame) -> DataFrame:
     return listed.select("convo_id", F.to_json(F.transform("ms", lambda x: x["m"]), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def write_universal(posts: DataFrame, path: str, shards: int | None = None, per_file: int | None = None, by: str | None = None) -> None:
-    """Write JSON lines, one conversation each: in ``shards`` files, at most ``per_file`` lines in a file, or a folder per value of ``by``."""
+def write_universal(posts: DataFrame, path: str, shards: int | None = None, per_file: int | None = None, by: str | None = None, mode: str = "error") -> None:
+    """Write JSON lines, one conversation each: in ``shards`` files, at most ``per_file`` lines in a file, or a folder per value of ``by``. ``mode`` is Spark's: what to do if there is something already."""
     lines = universal_json(posts)
     if by is not None:
         keys = posts.groupBy("convo_id").agg(F.min(by).alias(by))
         lines = lines.join(keys, "convo_id")
     if shards:
         lines = lines.repartition(shards, "convo_id")
-    writer = lines.drop("convo_id").write.mode("overwrite")
+    writer = lines.drop("convo_id").write.mode(mode)
     if per_file:
         writer = writer.option("maxRecordsPerFile", per_file)
     (writer.partitionBy(by) if by else writer).text(path)
@@ -148,16 +153,6 @@ def read_ad_hominem(spark: SparkSession, path: str, detect=None) -> DataFrame:
     return _finish(rows, F.lit("pool"), detect, "file", "line", "place")
 
 
-def _valid(value: str) -> str:
-    import json
-
-    try:
-        json.loads(value)
-        return value
-    except ValueError:
-        return ""
-
-
 def read_facebook(spark: SparkSession, path: str, detect=None) -> DataFrame:
     """Folders ``path<page>/<post>/{post,comments,replies,attach,react,scrape}*.json``; a pool per page.
 
@@ -168,11 +163,7 @@ def read_facebook(spark: SparkSession, path: str, detect=None) -> DataFrame:
     known = F.regexp_extract("name", "(post|comments|replies|attach|react|scrape)", 1)
     kind = F.when(F.col("name").startswith("post"), "post").when(known == "", F.raise_error(F.concat(F.lit("no kind of file: "), F.col("file")))).otherwise(known)
 
-    @F.pandas_udf("string")
-    def valid(values: pd.Series) -> pd.Series:
-        return values.map(_valid)
-
-    good = files.withColumn("kind", kind).where(F.col("kind").isin("post", "comments", "replies")).withColumn("value", valid("value")).where("value <> ''").withColumn("line", F.col("file"))
+    good = files.withColumn("kind", kind).where(F.col("kind").isin("post", "comments", "replies")).where(F.try_parse_json("value").isNotNull()).withColumn("line", F.col("file"))
     keys = {"page": "string", "folder": "string", "kind": "string"}
     posts = raw.parsed(good.where("kind = 'post'"), raw.facebook, keys, ("kind",))
     found = posts.groupBy("page", "folder").agg(F.max_by("uid", "line").alias("post_uid"))
@@ -191,6 +182,6 @@ READERS = {"universal": read_universal, "4chan": read_chan, "Facebook": read_fac
 DETECT = langdetect.detect_languages
 
 
-def convert(spark: SparkSession, kind: str, path: str, out: str, shards: int | None = None, per_file: int | None = None, by: str | None = None, **options) -> None:
+def convert(spark: SparkSession, kind: str, path: str, out: str, shards: int | None = None, per_file: int | None = None, by: str | None = None, mode: str = "error", **options) -> None:
     """Raw files of a kind to universal JSON lines."""
-    write_universal(READERS[kind](spark, path, **options), out, shards, per_file, by)
+    write_universal(READERS[kind](spark, path, **options), out, shards, per_file, by, mode)
