@@ -5,11 +5,11 @@ from math import log
 import pytest
 from rows import post
 
-from threadweave.operators import entropy, features, stats, vectorize
+from threadweave.operators import graph, entropy, features, stats, vectorize
 
 PAIR = [
-    post(3894032234, text="We are shutting down Twitter", author="Twitter", at=(12, 54, 2), seq=0),
-    post(91242213123121, [3894032234], "@Twitter check out this 😏 https://www.twitter.com/ #crazy #link", "apnews", (12, 54, 12), seq=1),
+    post(3894032234, text="The harbour is closed today", author="harbour", at=(12, 54, 2), seq=0),
+    post(91242213123121, [3894032234], "@harbour our boat left at noon 😏 http://port.example.org/ #rain #wind", "apnews", (12, 54, 12), seq=1),
 ]
 
 
@@ -70,7 +70,8 @@ def test_entropies_on_random_graphs():
         def above(i):
             return up[i].union(*(above(p) for p in up[i])) if up[i] else set()
 
-        got = entropy.entropies(uids, to, tokens)
+        places = graph.places(uids, to)
+        got = entropy.entropies(places, graph.walk(places)[1], tokens)
         for i in range(n):
             down = {j for j in range(n) if i in up[j]}
             sets = {

@@ -29,6 +29,13 @@ def letter_class(ranges: str = _RANGES) -> str:
 
 LETTERS = letter_class()
 WORD_PATTERN = f"[0-9{LETTERS}'-]+|[^0-9{LETTERS}'-]"
+#: The same for Java's engine, which tries the parts of a large class one by one: ASCII is decided first, so only other characters are looked up there.
+_ASCII_MARK = r"[\x00-\x26\x28-\x2c\x2e\x2f\x3a-\x3f\x5b-\x60\x7b-\x7f]"
+_FAST = r"(?s)%s|(?:[0-9@A-Za-z'-]++|(?![\x00-\x7f])[%s])++|."
+
+
+def _word_pattern(letters: str | None) -> str:
+    return _FAST % (_ASCII_MARK, LETTERS) if letters is None else f"[0-9{letters}'-]+|[^0-9{letters}'-]"
 
 HASHTAG = r"(?U)\B#[a-zA-Z]+\b"
 URL = r"\b(?:file|ftp|https?)://[A-Za-z0-9+&@#/%?=~_|!:,.;-]+[A-Za-z0-9+&@#/%=~_|-]"
@@ -58,8 +65,7 @@ def partition_tokens(text: Column, space: bool = True, charset: str | None = Non
     ``charset`` replaces the word letters (the inside of a character class, '' for none);
     ``space=False`` leaves spaces out. Case is kept.
     """
-    letters = LETTERS if charset is None else charset
-    found = matches(text, f"[0-9{letters}'-]+|[^0-9{letters}'-]")
+    found = matches(text, _word_pattern(charset))
     return found if space else F.filter(found, lambda t: t != " ")
 
 

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, OrderedDict
 from math import log
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadweave.functions.text import partition_tokens
-from threadweave.operators.graph import walk
+from threadweave.operators.graph import all_above, structure
 
+KEPT = 4_096  #: distributions of a conversation that are held at once
 SPLITS = ("ancestors", "children", "descendants", "full", "parents", "post", "siblings")
 PAIRS = tuple((a, b) for a in SPLITS for b in SPLITS if a != b and b != "post")
 NAMES = tuple(f"avg_token_entropy_{a}-{b}" for a, b in PAIRS)
@@ -31,12 +30,10 @@ def against(left: Counter, joint: Counter) -> float:
     return -sum(log(joint[t] / total) for t in left) / (log(types) * tokens)
 
 
-def splits(uids: list, targets: list) -> list[dict[str, frozenset]]:
-    """For every post the members (as places) of its seven splits, itself included."""
-    place = {u: i for i, u in enumerate(uids)}
-    n = len(uids)
-    _, above = walk(uids, targets)
-    up = [{place[t] for t in ts if t in place} for ts in targets]
+def splits(up: list[list[int]], order: list[int]) -> list[dict[str, frozenset]]:
+    """For every post the members (as places) of its seven splits, itself included; ``up`` and ``order`` as ``walk`` has them."""
+    n = len(up)
+    above = all_above(up, order)
     down: list[set[int]] = [set() for _ in range(n)]
     below: list[set[int]] = [set() for _ in range(n)]
     for i in range(n):
@@ -48,33 +45,42 @@ def splits(uids: list, targets: list) -> list[dict[str, frozenset]]:
     out = []
     for i in range(n):
         beside = set().union(*(down[p] for p in up[i])) if up[i] else set()
-        sets = {"ancestors": above[i], "children": down[i], "descendants": below[i], "parents": up[i], "siblings": beside}
+        sets = {"ancestors": above[i], "children": down[i], "descendants": below[i], "parents": set(up[i]), "siblings": beside}
         out.append({k: frozenset(v | {i}) for k, v in sets.items()} | {"full": everyone, "post": frozenset([i])})
     return out
 
 
-def entropies(uids: list, targets: list, tokens: list) -> list[list[float]]:
-    """The 36 values of every post of one conversation; distributions of equal member sets are built once."""
-    counts = [Counter(t) for t in tokens]
-    known: dict[frozenset, Counter] = {}
+def entropies(up: list[list[int]], order: list[int], tokens: list) -> list[list[float]]:
+    """The 36 values of every post of one conversation.
 
-    def dist(members: frozenset) -> Counter:
-        if members not in known:
-            total: Counter = Counter()
-            for i in members:
-                total.update(counts[i])
-            known[members] = total
-        return known[members]
+    Distributions of equal member sets are built once, and one that has few members more than another is carried on from
+    that; only the last KEPT are held, so memory doesn't grow with the square of the posts.
+    """
+    counts = [Counter(t) for t in tokens]
+    known: OrderedDict[frozenset, Counter] = OrderedDict()
+
+    def dist(members: frozenset, near: frozenset | None = None) -> Counter:
+        if members in known:
+            known.move_to_end(members)
+            return known[members]
+        carried = near in known and near <= members
+        total = known[near].copy() if carried else Counter()
+        for i in members - near if carried else members:
+            total.update(counts[i])
+        known[members] = total
+        if len(known) > KEPT:
+            known.popitem(last=False)
+        return total
 
     done: dict[tuple, float] = {}
     out = []
-    for parts in splits(uids, targets):
+    for parts in splits(up, order):
         row = []
         for a, b in PAIRS:
             left, joint = parts[a], parts[a] | parts[b]
             key = left, joint, a == "post"
             if key not in done:
-                done[key] = 0.0 if a != "post" and len(joint) == len(left) else against(dist(left), dist(joint))
+                done[key] = 0.0 if a != "post" and len(joint) == len(left) else against(dist(left), dist(joint, left))
             row.append(done[key])
         out.append(row)
     return out
@@ -86,20 +92,12 @@ def entropy_pairs(posts: DataFrame, tokens: Column | None = None) -> DataFrame:
     The tokens of a conversation meet in one row, so its member sets and distributions are made
     locally: one shuffle of the tokens, instead of one row for every post, pair, member and token.
     """
-    tokens = partition_tokens(F.col("text")) if tokens is None else tokens
-    item = F.struct("seq", "uid", F.coalesce("reply_to", F.array()).alias("to"), tokens.alias("tok"))
-    threads = posts.groupBy("convo_id").agg(F.array_sort(F.collect_list(item)).alias("p"))
-    shape = "convo_id string, uid string, " + ", ".join(f"`{n}` double" for n in NAMES)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for convo, us, to, tok in zip(pdf["convo_id"], pdf["u"], pdf["t"], pdf["k"]):
-                us = list(us)
-                rows += [(convo, u, *vs) for u, vs in zip(us, entropies(us, [list(x) for x in to], [list(x) for x in tok]))]
-            yield pd.DataFrame(rows, columns=["convo_id", "uid", *NAMES])
-
-    return threads.select("convo_id", F.col("p.uid").alias("u"), F.col("p.to").alias("t"), F.col("p.tok").alias("k")).mapInPandas(run, shape)
+    return with_structure(posts, tokens).select("convo_id", "uid", *[f"`{n}`" for n in NAMES])
+
+
+def with_structure(posts: DataFrame, tokens: Column | None = None) -> DataFrame:
+    """``graph.structure`` and the 36 columns, from the same shuffle."""
+    return structure(posts, partition_tokens(F.col("text")) if tokens is None else tokens, entropies, NAMES)
 
 
 def token_counts(posts: DataFrame, keys: tuple[str, ...], tokens: Column | None = None) -> DataFrame:

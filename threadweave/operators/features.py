@@ -58,9 +58,9 @@ def post_strings(posts: DataFrame) -> DataFrame:
 
 def post_features(posts: DataFrame) -> DataFrame:
     """All features of posts by themselves: ids, categories, flags, floats, ints."""
-    floats = posts.select(*KEY, *POST_CATEGORICALS, (F.size(F.coalesce("reply_to", F.array())) == 0).alias("is_source"), harmonic.mixing_of_tokens(tokens()).alias("m"))
-    flat = floats.select(*KEY, *POST_CATEGORICALS, "is_source", *[F.col(f"m.{k}").alias(k) for k in MIXING])
-    return flat.join(post_ints(posts), KEY)
+    floats = posts.withColumns({"_source": F.size(F.coalesce("reply_to", F.array())) == 0, "_mixing": harmonic.mixing_of_tokens(tokens())})
+    both = post_ints(floats, [*KEY, *POST_CATEGORICALS, "_source", "_mixing"])
+    return both.select(*KEY, *POST_CATEGORICALS, F.col("_source").alias("is_source"), *[F.col(f"_mixing.{k}").alias(k) for k in MIXING], *[f"`{c}`" for c in POST_INTS])
 
 
 def post_in_convo_features(posts: DataFrame) -> DataFrame:
@@ -69,10 +69,8 @@ def post_in_convo_features(posts: DataFrame) -> DataFrame:
     ``degree`` is the depth, as the compared library has it; ``true_degree`` is the degree.
     """
     alone = post_features(posts).drop("is_source")
-    level = graph.widths(graph.depths(posts)).withColumn("degree", F.col("depth"))
-    degree = graph.degrees(posts).select(*KEY, "in_degree", "true_degree")
-    out = alone.join(level, KEY).join(degree, KEY).join(graph.flags(posts), KEY)
-    out = out.join(timing.relative_age(posts), KEY).join(timing.response_time(posts), KEY).join(entropy.entropy_pairs(posts), KEY)
+    place = entropy.with_structure(posts).drop("out_degree").withColumn("degree", F.col("depth"))
+    out = alone.join(place, KEY)
     ints = [F.col(f"`{c}`").cast("bigint").alias(c) for c in CONVO_POST_INTS]
     return out.select(*KEY, *POST_CATEGORICALS, *CONVO_POST_BOOLS, *[f"`{c}`" for c in CONVO_POST_FLOATS], *ints, "true_degree")
 

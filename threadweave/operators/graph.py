@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,38 +55,47 @@ def siblings(posts: DataFrame, include_post: bool = False) -> DataFrame:
     return _with_self(found.select(*KEY, "member").distinct(), posts, include_post)
 
 
-def walk(uids: list[str], targets: list[list[str]]) -> tuple[list[int], list[set[int]]]:
-    """Longest path from a source and all ancestors (as places) of every post of one conversation; a cycle raises."""
+def places(uids: list[str], targets: list[list[str]]) -> list[list[int]]:
+    """For every post of one conversation the places of those it replies to."""
     place = {u: i for i, u in enumerate(uids)}
-    up = [sorted({place[t] for t in ts if t in place}) for ts in targets]
+    return [sorted({place[t] for t in ts if t in place}) for ts in targets]
+
+
+def walk(up: list[list[int]]) -> tuple[list[int], list[int]]:
+    """Longest path from a source of every post of one conversation, and the posts in an order in which each comes after those it
+    replies to, in time linear in the replies; a cycle raises. ``up``: see ``places``."""
     waiting = [len(p) for p in up]
-    down: list[list[int]] = [[] for _ in uids]
+    down: list[list[int]] = [[] for _ in up]
     for i, ps in enumerate(up):
         for p in ps:
             down[p].append(i)
-    depth, above = [0] * len(uids), [set() for _ in uids]
-    ready = [i for i, n in enumerate(waiting) if not n]
-    done = 0
-    while ready:
-        i = ready.pop()
-        done += 1
+    depth, order = [0] * len(up), [i for i, n in enumerate(waiting) if not n]
+    for i in order:
         for c in down[i]:
             depth[c] = max(depth[c], depth[i] + 1)
-            above[c] |= above[i]
-            above[c].add(i)
             waiting[c] -= 1
             if not waiting[c]:
-                ready.append(c)
-    if done < len(uids):
+                order.append(c)
+    if len(order) < len(up):
         raise ValueError("a post is its own ancestor")
-    return depth, above
+    return depth, order
+
+
+def all_above(up: list[list[int]], order: list[int]) -> list[set[int]]:
+    """The ancestors of every post; as many as there are pairs of them."""
+    above: list[set[int]] = [set() for _ in up]
+    for i in order:
+        for p in up[i]:
+            above[i] |= above[p]
+            above[i].add(p)
+    return above
 
 
 def depths(posts: DataFrame, with_ancestors: bool = False) -> DataFrame:
     """``(convo_id, uid, depth)``: the longest path from a source; with_ancestors adds their ids as an array.
 
     A conversation's ids and targets meet in one row and are walked in topological order, in time
-    linear in its edges: one shuffle, whatever the depth. A cycle raises.
+    linear in its edges (and the number of ancestors, if these are asked for): one shuffle, whatever the depth. A cycle raises.
     """
     threads = posts.groupBy("convo_id").agg(F.collect_list(F.struct("uid", F.coalesce("reply_to", F.array()).alias("to"))).alias("p"))
     shape = "convo_id string, uid string, depth int" + ", ancestors array<string>" * with_ancestors
@@ -94,13 +105,58 @@ def depths(posts: DataFrame, with_ancestors: bool = False) -> DataFrame:
             rows = []
             for convo, uids, to in zip(pdf["convo_id"], pdf["u"], pdf["t"]):
                 uids = list(uids)
-                depth, above = walk(uids, [list(x) for x in to])
-                rows += [(convo, u, d, *([[uids[i] for i in sorted(a)]] if with_ancestors else [])) for u, d, a in zip(uids, depth, above)]
+                up = places(uids, to)
+                depth, order = walk(up)
+                if with_ancestors:
+                    rows += [(convo, u, d, [uids[i] for i in sorted(a)]) for u, d, a in zip(uids, depth, all_above(up, order))]
+                else:
+                    rows += [(convo, u, d) for u, d in zip(uids, depth)]
             yield pd.DataFrame(rows, columns=["convo_id", "uid", "depth", *(["ancestors"] if with_ancestors else [])])
 
     return threads.select("convo_id", F.col("p.uid").alias("u"), F.col("p.to").alias("t")).mapInPandas(run, shape)
 
 
+def structure(posts: DataFrame, tokens: Column | None = None, extra: Callable[[list[list[int]], list[int], list[list[str]]], list[list[float]]] | None = None, names: tuple[str, ...] = ()) -> DataFrame:
+    """What a post's place in its conversation says, from one shuffle: depth, width, degrees, flags, relative age and response time.
+
+    ``(convo_id, uid, depth, width, in_degree, out_degree, true_degree, is_source, is_leaf, is_internal, is_author_source_author,
+    relative_age, response_time)``, as ``depths``, ``widths``, ``degrees``, ``flags``, ``timing.relative_age`` and
+    ``timing.response_time`` give them one by one. ``extra`` adds columns ``names`` from the reply places, their order and the ``tokens``.
+    """
+    micros = F.unix_micros("created_at").alias("at")
+    item = F.struct("seq", "uid", F.coalesce("reply_to", F.array()).alias("to"), "author", micros, (F.array().cast("array<string>") if tokens is None else tokens).alias("tok"))
+    threads = posts.groupBy("convo_id").agg(F.array_sort(F.collect_list(item)).alias("p"))
+    shape = (
+        "convo_id string, uid string, depth int, width bigint, in_degree bigint, out_degree bigint, true_degree bigint, is_source boolean, is_leaf boolean, is_internal boolean, "
+        "is_author_source_author boolean, relative_age double, response_time double" + "".join(f", `{n}` double" for n in names)
+    )
+    columns = [x.split()[0].strip("`") for x in shape.split(", ")]
+
+    def one(convo: str, uids: list, to: list, authors: list, times: list, tok: list) -> list[tuple]:
+        up = places(uids, to)
+        depth, order = walk(up)
+        width, below = Counter(depth), Counter(p for ps in up for p in ps)
+        origin = {a for a, ps in zip(authors, up) if not ps}
+        timed = all(t is not None for t in times)
+        begin = min(times) if timed else 0
+        more = extra(up, order, tok) if extra else [[]] * len(uids)
+        rows = []
+        for i, u in enumerate(uids):
+            out, into = len(to[i]), below[i]
+            gaps = [abs(times[i] - times[p]) / 1e6 for p in up[i] if times[i] is not None and times[p] is not None]
+            age = (times[i] - begin) / 1e6 if timed else -1.0
+            rows.append((convo, u, depth[i], width[depth[i]], into, out, into + out, out == 0, into == 0, into > 0 and out > 0, authors[i] in origin, age, min(gaps, default=-1.0), *more[i]))
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [row for conversation in zip(*(c.to_pylist() for c in batch.columns)) for row in one(*conversation)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=columns)
+
+    kinds = [{"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[x.split()[1]] for x in shape.split(", ")]
+    return threads.select("convo_id", *[f"p.{x}" for x in ("uid", "to", "author", "at", "tok")]).mapInArrow(run, shape)
+
+
 def ancestors(posts: DataFrame, include_post: bool = False) -> DataFrame:
     """``(convo_id, uid, member)`` for everything a post replies to, directly or not."""
     return _with_self(depths(posts, True).select(*KEY, F.explode("ancestors").alias("member")), posts, include_post)

@@ -61,6 +61,10 @@ class Vectorizer:
     def _flags(self, posts: DataFrame) -> DataFrame | None:
         return None
 
+    def _hold(self, posts: DataFrame) -> DataFrame:
+        """The numbers, written once."""
+        return cut(self._long(posts))
+
     order: list[str] = field(default_factory=list)
     flag_names: list[str] = field(default_factory=list)
 
@@ -88,7 +92,7 @@ class Vectorizer:
         """Both, with the features made once."""
         if not isinstance(posts, DataFrame):
             raise ValueError("a posts table is needed")
-        self.held = cut(self._long(posts))
+        self.held = self._hold(posts)
         try:
             return self.fit(posts).transform(posts, include_ids)
         finally:
@@ -111,7 +115,22 @@ class PostVectorizer(Vectorizer):
         self.order = fx.CONVO_POST_NUMBERS if self.in_convo else [*fx.POST_FLOATS, *fx.POST_INTS]
         self.flag_names = fx.CONVO_POST_BOOLS if self.in_convo else fx.POST_BOOLS
 
+    made: DataFrame | None = None
+
+    def _hold(self, posts: DataFrame) -> DataFrame:
+        """The features, written once for numbers and flags alike."""
+        self.made = cut(self._features(posts))
+        return stats.to_long(self.made, self.keys, self.order)
+
+    def fit_transform(self, posts: DataFrame, include_ids: bool = True) -> DataFrame:
+        try:
+            return super().fit_transform(posts, include_ids)
+        finally:
+            self.made = None
+
     def _features(self, posts: DataFrame) -> DataFrame:
+        if self.made is not None:
+            return self.made
         return fx.post_in_convo_features(posts) if self.in_convo else fx.post_features(posts)
 
     def _long(self, posts: DataFrame) -> DataFrame:
