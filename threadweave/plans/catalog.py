@@ -11,6 +11,8 @@ from threadweave.functions import harmonic, text
 from threadweave.operators import annotate, entropy, features, filters, graph, merge, redaction, stats, timing, vectorize
 from threadweave.plans import metrics
 from threadweave.plans.sqlparts import ABOVE, DEGREE, DEPTH, EDGES, TOKENS, WORDS, query
+from threadweave.session import cut
+from threadweave.sources import samples
 from threadweave.sources.adapters import conversation_posts, document_posts, event_posts
 
 FLAGSHIP = "int_sums"
@@ -49,12 +51,12 @@ def filter_all(spark, sf):
     return filters.filter_posts(document_posts(spark, sf), by_langs=["en", "fr"], min_chars=500, by_platform=["Twitter"]).select("convo_id", "uid")
 
 
-@named("filter_time_tags", query("SELECT convo_id, uid FROM posts WHERE sec < 1704500000 AND sec > 1704100000 AND author = 'user'"))
+@named("filter_time_tags", query("SELECT convo_id, uid FROM posts WHERE sec < 1704500000 AND sec > 1704100000 AND author = 'user' AND platform IN ('Reddit', '4chan') AND lang IN ('en', 'de')"))
 def filter_time_tags(spark, sf):
     import datetime as dt
 
     when = lambda s: dt.datetime.fromtimestamp(s, dt.timezone.utc)
-    return filters.filter_posts(conversation_posts(spark, sf), before=when(1_704_500_000), after=when(1_704_100_000), by_tags=["role=user"], by_author="user").select("convo_id", "uid")
+    return filters.filter_posts(conversation_posts(spark, sf), before=when(1_704_500_000), after=when(1_704_100_000), by_tags=["role=user"], by_author="user", by_platform=["Reddit", "4chan"], by_langs=["en", "de"]).select("convo_id", "uid")
 
 
 @named("user_posts", query("SELECT convo_id, uid FROM posts WHERE author = 'assistant'"))
@@ -228,12 +230,19 @@ named("type_freq_post", query("SELECT convo_id, uid, token, count(*) AS n FROM t
 named("type_freq_convo", query("SELECT convo_id, token, count(*) AS n FROM tok GROUP BY 1, 2", TOKENS))(lambda spark, sf: features.type_frequencies(conversation_posts(spark, sf), ("convo_id",)))
 named("type_freq_user", query("SELECT convo_id, author, token, count(*) AS n FROM tok GROUP BY 1, 2, 3", TOKENS))(lambda spark, sf: features.type_frequencies(conversation_posts(spark, sf), ("convo_id", "author")))
 
+_URL = text.URL.replace("'", "''")
+_HASHTAG = r"\B#[a-zA-Z]+\b"
+_MENTIONS = (
+    r"CASE platform WHEN 'Twitter' THEN regexp_extract_all(text, '(^|[^\w@])@(\w{1,15})\b') WHEN 'Reddit' THEN regexp_extract_all(text, '(^|\W)/?u/([0-9A-Z_a-z-]+)\b') "
+    r"WHEN '4chan' THEN regexp_extract_all(text, '>>(\d+)') ELSE [] END"
+)
 INTS = (
-    "ints AS (SELECT p.convo_id, p.uid, p.author, CAST(len(regexp_extract_all(text, '[?]')) AS BIGINT) AS \"?_count\", CAST(len(regexp_extract_all(text, '[!]')) AS BIGINT) AS \"!_count\", "
-    "length(text) AS char_count, CAST(0 AS BIGINT) AS emoji_count, CAST(0 AS BIGINT) AS hashtag_count, CAST(0 AS BIGINT) AS mention_count, CAST(len(reply_to) AS BIGINT) AS out_degree, "
+    "ints AS (SELECT p.convo_id, p.uid, p.author, p.platform, CAST(len(regexp_extract_all(text, '[?]')) AS BIGINT) AS \"?_count\", CAST(len(regexp_extract_all(text, '[!]')) AS BIGINT) AS \"!_count\", "
+    f"length(text) AS char_count, CAST(len(regexp_extract_all(text, '{text.EMOJI}')) AS BIGINT) AS emoji_count, CAST(len(regexp_extract_all(text, '{_HASHTAG}')) AS BIGINT) AS hashtag_count, "
+    f"CAST(len({_MENTIONS}) AS BIGINT) AS mention_count, CAST(len(reply_to) AS BIGINT) AS out_degree, "
     "CAST(len(regexp_extract_all(text, '[,.?!;''\"]')) AS BIGINT) AS punct_count, "
     f"CAST(len(regexp_extract_all(text, '{WORDS}')) AS BIGINT) AS token_count, CAST(len(list_distinct(regexp_extract_all(text, '{WORDS}'))) AS BIGINT) AS type_count, "
-    "CAST(len(regexp_extract_all(text, '[A-Z]')) AS BIGINT) AS uppercase_count, CAST(0 AS BIGINT) AS url_count FROM posts p)"
+    f"CAST(len(regexp_extract_all(text, '[A-Z]')) AS BIGINT) AS uppercase_count, CAST(len(regexp_extract_all(text, '{_URL}')) AS BIGINT) AS url_count FROM posts p)"
 )
 _CELLS = ", ".join(f'"{c}"' for c in features.POST_INTS)
 named("post_ints", query(f"SELECT convo_id, uid, {_CELLS} FROM ints", INTS))(lambda spark, sf: features.post_ints(conversation_posts(spark, sf)))
@@ -249,9 +258,8 @@ def _sums(keys: str) -> str:
 
 def light_features(posts: DataFrame) -> DataFrame:
     """The integer features of posts in their conversations, without fits and entropies."""
-    level = graph.widths(graph.depths(posts)).withColumn("degree", F.col("depth").cast("bigint"))
-    ints = features.post_ints(posts, ["convo_id", "uid", "author"])
-    return ints.join(level, ["convo_id", "uid"]).join(graph.degrees(posts).select("convo_id", "uid", "in_degree"), ["convo_id", "uid"])
+    place = graph.structure(posts).select("convo_id", "uid", "depth", "width", F.col("depth").cast("bigint").alias("degree"), "in_degree")
+    return features.post_ints(posts, ["convo_id", "uid", "author"]).join(place, ["convo_id", "uid"])
 
 
 named("int_sums", query(_sums("convo_id"), EDGES, DEPTH, DEGREE, INTS, FULL_INTS))(lambda spark, sf: features.summed_ints(light_features(conversation_posts(spark, sf)), ["convo_id"]))
@@ -430,15 +438,33 @@ named("default_tokens", rf"WITH {DOCS} SELECT uid, array_to_string(regexp_extrac
 named("hashtags", rf"WITH {DOCS} SELECT uid, array_to_string(regexp_extract_all(text || ' #' || lang, '\B#[a-zA-Z]+\b'), ' ') AS found FROM docs")(
     lambda spark, sf: document_posts(spark, sf).select("uid", F.array_join(text.hashtags(F.concat("text", F.lit(" #"), "lang")), " ").alias("found"))
 )
-_URL = text.URL.replace("'", "''")
 named("urls", f"SELECT page_id, array_to_string(regexp_extract_all(html || ' ' || url, '{_URL}'), ' ') AS found FROM pages")(
     lambda spark, sf: _pages(spark, sf).select("page_id", F.array_join(text.urls(F.concat_ws(" ", "html", "url")), " ").alias("found"))
 )
 named("mentions", rf"WITH {DOCS} SELECT uid, array_to_string(regexp_extract_all('@' || lang || ' ' || text || ' @' || convo_id, '(^|[^\w@])@(\w{{1,15}})\b'), ' ') AS found FROM docs")(
     lambda spark, sf: document_posts(spark, sf).select("uid", F.array_join(text.mentions(F.concat(F.lit("@"), "lang", F.lit(" "), "text", F.lit(" @"), "convo_id"), F.col("platform")), " ").alias("found"))
 )
-named("emojis")(lambda spark, sf: document_posts(spark, sf).select("uid", text.emojis(F.col("text")).alias("found")))
-named("post_strings")(lambda spark, sf: features.post_strings(document_posts(spark, sf)))
+_PICTURES = " \U0001f60f\U0001f44d\U0001f3fd x \u2764\ufe0f \U0001f1eb\U0001f1f75\ufe0f\u20e3\u2602"
+named("emojis", f"WITH {DOCS} SELECT uid, array_to_string(regexp_extract_all(substr(text, 1, 200) || '{_PICTURES}' || text, '{text.EMOJI}'), ' ') AS found FROM docs")(
+    lambda spark, sf: document_posts(spark, sf).select("uid", F.array_join(text.emojis(F.concat(F.substring("text", 1, 200), F.lit(_PICTURES), "text")), " ").alias("found"))
+)
+_FOUND = {"emojis": f"regexp_extract_all(text, '{text.EMOJI}')", "hashtags": f"regexp_extract_all(text, '{_HASHTAG}')", "mentions": _MENTIONS, "tokens": f"regexp_extract_all(text, '{WORDS}')", "urls": f"regexp_extract_all(text, '{_URL}')"}
+named("post_strings", query("SELECT convo_id, uid, " + ", ".join(f"array_to_string({e}, chr(1)) AS {n}" for n, e in _FOUND.items()) + " FROM posts"))(
+    lambda spark, sf: features.post_strings(conversation_posts(spark, sf)).select("convo_id", "uid", *[F.array_join(n, "\x01").alias(n) for n in features.POST_STRS])
+)
+named("post_categoricals", query("SELECT convo_id, uid, author, lang, platform, len(reply_to) = 0 AS is_source FROM posts", shape="external"))(
+    lambda spark, sf: features.post_features(conversation_posts(spark, sf, "external")).select("convo_id", "uid", *features.POST_CATEGORICALS, "is_source")
+)
+named(
+    "detection_rule",
+    f"WITH {DOCS} SELECT uid, CASE WHEN (lang IS NULL OR lang = 'und') AND length(text) > 0 THEN CASE WHEN n % 10 >= 5 THEN 'g' || n % 4 ELSE 'und' END ELSE lang END AS lang "
+    "FROM (SELECT uid, text, seq AS n, CASE seq % 3 WHEN 0 THEN NULL WHEN 1 THEN 'und' ELSE lang END AS lang FROM docs)",
+)(lambda spark, sf: _detection_rule(spark, sf))
+
+
+def _detection_rule(spark, sf):
+    posts = document_posts(spark, sf).withColumn("lang", F.when(F.col("seq") % 3 == 0, None).when(F.col("seq") % 3 == 1, "und").otherwise(F.col("lang")))
+    return posts.select("uid", text.detected(F.col("lang"), F.col("text"), F.concat(F.lit("g"), F.col("seq") % 4), (F.col("seq") % 10) / 10).alias("lang"))
 
 
 def _pages(spark, sf):
@@ -451,11 +477,12 @@ def _pages(spark, sf):
     "redact",
     query(
         "SELECT p.convo_id, p.uid, 'USER' || k AS author, '@USER' || k || ' ' || text AS text FROM posts p "
-        "JOIN (SELECT convo_id, author, row_number() OVER (PARTITION BY convo_id ORDER BY min(seq)) - 1 AS k FROM posts GROUP BY 1, 2) a USING (convo_id, author)"
+        "JOIN (SELECT convo_id, author, row_number() OVER (PARTITION BY convo_id ORDER BY min(seq)) - 1 AS k FROM posts GROUP BY 1, 2) a USING (convo_id, author)",
+        rich=False,
     ),
 )
 def redact(spark, sf):
-    posts = conversation_posts(spark, sf).withColumn("author", F.concat(F.lit("the_"), "author")).withColumn("text", F.concat(F.lit("@"), "author", F.lit(" "), "text"))
+    posts = conversation_posts(spark, sf, rich=False).withColumn("author", F.concat(F.lit("the_"), "author")).withColumn("text", F.concat(F.lit("@"), "author", F.lit(" "), "text"))
     return redaction.redact(posts).select("convo_id", "uid", "author", "text")
 
 
@@ -479,19 +506,190 @@ for _how, _expr in (("minmax", "(v - lo) / CASE WHEN hi = lo THEN 1.0 ELSE hi -
 
 
 def _normalized(spark, sf, how):
-    long = stats.to_long(features.post_ints(conversation_posts(spark, sf)), ["convo_id", "uid"], features.POST_INTS)
+    long = cut(stats.to_long(features.post_ints(conversation_posts(spark, sf)), ["convo_id", "uid"], features.POST_INTS))
     fitted = vectorize.column_stats(long)
     scaled = long.join(F.broadcast(fitted), "feature").withColumn("value", vectorize.normalized(F.col("value"), how))
     return scaled.select("convo_id", "uid", "feature", (F.round("value", 9) + 0.0).alias("value"))
 
 
-named("post_vectors")(lambda spark, sf: vectorize.PostVectorizer("minmax", in_convo=False).fit_transform(conversation_posts(spark, sf)))
-named("post_in_convo_vectors")(lambda spark, sf: vectorize.PostVectorizer("standard").fit_transform(conversation_posts(spark, sf)))
-named("user_vectors")(lambda spark, sf: vectorize.UserVectorizer().fit_transform(conversation_posts(spark, sf)))
-named("user_across_vectors")(lambda spark, sf: vectorize.UserVectorizer("mean", across=True).fit_transform(conversation_posts(spark, sf)))
-named("conversation_vectors")(lambda spark, sf: vectorize.ConversationVectorizer("standard").fit_transform(conversation_posts(spark, sf)))
-named("convo_stats")(lambda spark, sf: _rounded(features.convo_stats(conversation_posts(spark, sf)), "value", digits=6))
-named("user_stats_across")(lambda spark, sf: _rounded(features.user_stats_across(conversation_posts(spark, sf)), "value", digits=6))
+AGES = (
+    "ages AS (SELECT convo_id, uid, CAST(sec - min(sec) OVER (PARTITION BY convo_id) AS DOUBLE) AS relative_age FROM posts), "
+    "responses AS (SELECT p.convo_id, p.uid, CAST(coalesce(min(abs(p.sec - q.sec)), -1) AS DOUBLE) AS response_time FROM posts p LEFT JOIN edges e ON e.convo_id = p.convo_id AND e.child = p.uid "
+    "LEFT JOIN posts q ON q.convo_id = e.convo_id AND q.uid = e.parent GROUP BY 1, 2)"
+)
+PAIR_VALUES = (
+    "pair_values AS (SELECT z.convo_id, z.uid, 'avg_token_entropy_' || z.l || '-' || z.r AS feature, CASE WHEN (z.l <> 'post' AND z.size = s.size) OR t.types IS NULL OR t.types < 2 THEN 0.0 ELSE coalesce(-sums.s / (ln(t.types) * a.m), 0.0) END AS value "
+    "FROM joint_size z JOIN sizes s ON s.convo_id = z.convo_id AND s.uid = z.uid AND s.split = z.l LEFT JOIN joint_total t ON t.convo_id = z.convo_id AND t.uid = z.uid AND t.l = z.l AND t.r = z.r LEFT JOIN sums ON sums.convo_id = z.convo_id AND sums.uid = z.uid AND sums.l = z.l AND sums.r = z.r "
+    "LEFT JOIN left_size a ON a.convo_id = z.convo_id AND a.uid = z.uid AND a.split = z.l)"
+)
+#: The numbers of posts but for the four of the mixing fit, which is iterative.
+POST_NUMBERS = (
+    "post_numbers AS (SELECT convo_id, uid, author, feature, value FROM (SELECT convo_id, uid, feature, value FROM pair_values "
+    "UNION ALL SELECT convo_id, uid, 'relative_age', relative_age FROM ages UNION ALL SELECT convo_id, uid, 'response_time', response_time FROM responses "
+    + " ".join(f"UNION ALL SELECT convo_id, uid, '{f}', CAST(\"{f}\" AS DOUBLE) FROM full_ints" for f in features.CONVO_POST_INTS)
+    + ") JOIN (SELECT convo_id, uid, author FROM posts) USING (convo_id, uid))"
+)
+FLAGS = (
+    "marks AS (SELECT d.convo_id, d.uid, p.author, out_degree = 0 AS is_source, in_degree = 0 AS is_leaf, in_degree <> 0 AND out_degree <> 0 AS is_internal, o.author IS NOT NULL AS is_author_source_author "
+    "FROM degrees d JOIN posts p ON p.convo_id = d.convo_id AND p.uid = d.uid LEFT JOIN (SELECT DISTINCT convo_id, author FROM posts WHERE uid NOT IN (SELECT child FROM edges)) o ON o.convo_id = d.convo_id AND o.author = p.author)"
+)
+_PARTS = (EDGES, ABOVE, DEPTH, DEGREE, TOKENS, INTS, FULL_INTS, REL, PAIRS, PAIR_VALUES, AGES, FLAGS, POST_NUMBERS)
+
+
+def _five(source: str, keys: str, prefix: str, guard: bool) -> str:
+    """Five statistics of the feature values of a table per group, long."""
+    std = "CASE WHEN count(*) <= 1 THEN 1.0 ELSE stddev_pop(value) END" if guard else "stddev_pop(value)"
+    parts = {"min": "min(value)", "max": "max(value)", "mean": "avg(value)", "median": "median(value)", "std": std}
+    group = f"{keys}, " if keys else ""
+    inner = f"(SELECT {group}feature, " + ", ".join(f"{e} AS {n}" for n, e in parts.items()) + f" FROM {source} GROUP BY {group}feature)"
+    return " UNION ALL ".join(f"SELECT {group}'{prefix}_{n}_' || feature AS feature, {n} AS value FROM {inner}" for n in parts)
+
+
+def _flag_sums(keys: str) -> str:
+    return " UNION ALL ".join(f"SELECT {keys}, '{n}' AS feature, CAST(sum(CASE WHEN {b} THEN 1 ELSE 0 END) AS DOUBLE) AS value FROM marks GROUP BY {keys}" for b, n in features.COUNTED_BOOLS.items())
+
+
+def _int_sums(keys: str) -> str:
+    return " UNION ALL ".join(f"SELECT {keys}, '{c}' AS feature, CAST(sum(\"{c}\") AS DOUBLE) AS value FROM full_ints GROUP BY {keys}" for c in features.SUMMED_INTS)
+
+
+_USER_ENTROPY = (
+    "SELECT convo_id, author, 'avg_user_token_entropy' AS feature, CASE WHEN users < 2 OR types < 2 THEN 0.0 ELSE -s / (ln(types) * own) END AS value FROM "
+    "(SELECT o.convo_id, o.author, sum(ln(w.n / z.m)) AS s, sum(o.n) AS own, any_value(z.types) AS types FROM (SELECT convo_id, author, token, count(*) AS n FROM tok GROUP BY 1, 2, 3) o "
+    "JOIN (SELECT convo_id, token, count(*) AS n FROM tok GROUP BY 1, 2) w USING (convo_id, token) "
+    "JOIN (SELECT convo_id, count(*) AS m, count(DISTINCT token) AS types FROM tok GROUP BY 1) z USING (convo_id) GROUP BY 1, 2) JOIN (SELECT convo_id, count(DISTINCT author) AS users FROM posts GROUP BY 1) USING (convo_id)"
+)
+USER_NUMBERS = (
+    "user_numbers AS (" + " UNION ALL ".join(
+        [
+            "SELECT convo_id, author, 'message_count' AS feature, CAST(count(*) AS DOUBLE) AS value FROM posts GROUP BY 1, 2",
+            "SELECT convo_id, author, 'types', CAST(count(DISTINCT token) AS DOUBLE) FROM tok GROUP BY 1, 2",
+            _flag_sums("convo_id, author"), _int_sums("convo_id, author"), _USER_ENTROPY, _five("post_numbers", "convo_id, author", "post", False),
+        ]
+    ) + ")"
+)
+CONVO_NUMBERS = (
+    "convo_numbers AS (" + " UNION ALL ".join(
+        [
+            "SELECT convo_id, 'messages' AS feature, CAST(count(*) AS DOUBLE) AS value FROM posts GROUP BY 1",
+            "SELECT convo_id, 'users', CAST(count(DISTINCT author) AS DOUBLE) FROM posts GROUP BY 1",
+            "SELECT convo_id, 'types', CAST(count(DISTINCT token) AS DOUBLE) FROM tok GROUP BY 1",
+            "SELECT convo_id, 'duration', CAST(max(sec) - min(sec) AS DOUBLE) FROM posts GROUP BY 1",
+            "SELECT convo_id, 'tree_depth', CAST(max(depth) AS DOUBLE) FROM depths GROUP BY 1",
+            "SELECT convo_id, 'tree_width', CAST(max(n) AS DOUBLE) FROM (SELECT convo_id, count(*) AS n FROM depths GROUP BY convo_id, depth) GROUP BY 1",
+            "SELECT convo_id, 'tree_degree', CAST(max(true_degree) AS DOUBLE) FROM degrees GROUP BY 1",
+            "SELECT convo_id, 'density', CASE WHEN n <= 1 OR m IS NULL THEN 0.0 ELSE 2.0 * m / (n * (n - 1)) END FROM (SELECT convo_id, count(*) AS n FROM posts GROUP BY 1) "
+            "LEFT JOIN (SELECT convo_id, count(*) AS m FROM (SELECT DISTINCT convo_id, least(child, parent), greatest(child, parent) FROM edges) GROUP BY 1) USING (convo_id)",
+            _flag_sums("convo_id"), _int_sums("convo_id"), _five("post_numbers", "convo_id", "post", False), _five("user_numbers", "convo_id", "user", True),
+        ]
+    ) + ")"
+)
+ACROSS_NUMBERS = (
+    "across_numbers AS (" + " UNION ALL ".join(
+        [
+            _five("post_numbers", "author", "post", False),
+            f"SELECT author, feature, sum(value) AS value FROM user_numbers WHERE feature IN ({', '.join(repr(x) for x in features.USER_INTS)}) GROUP BY 1, 2",
+            "SELECT author, 'source_author_count', CAST(sum(CASE WHEN s THEN 1 ELSE 0 END) AS DOUBLE) FROM (SELECT convo_id, author, bool_or(is_author_source_author) AS s FROM marks GROUP BY 1, 2) GROUP BY 1",
+        ]
+    ) + ")"
+)
+
+
+def _is_fitted(name: str) -> bool:
+    return not name.endswith("token_entropy") and any(name == k or name.endswith(f"_{k}") for k in features.MIXING)
+
+
+def _slots(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """A vector's places and values, but for those of the mixing fit, to 6 digits."""
+    fitted = [i for i, n in enumerate(order) if _is_fitted(n)]
+    return df.select(*keys, F.posexplode("features").alias("slot", "value")).where(~F.col("slot").isin(*fitted)).select(*keys, "slot", (F.round("value", 6) + 0.0).alias("value"))
+
+
+def _slots_sql(source: str, keys: str, order: list[str], flags: str = "") -> str:
+    places = ", ".join(f"('{n}', {i})" for i, n in enumerate(order) if not _is_fitted(n))
+    return f"SELECT {keys}, CAST(slot AS INTEGER) AS slot, round(value, 6) + 0.0 AS value FROM (SELECT {keys}, slot, value FROM {source} JOIN (VALUES {places}) AS names(feature, slot) USING (feature){flags})"
+
+
+def _flag_slots(names: list[str], keys: str, begin: int, source: str = "marks") -> str:
+    return "".join(f" UNION ALL SELECT {keys}, {begin + i}, CASE WHEN {n} THEN 1.0 ELSE 0.0 END FROM {source}" for i, n in enumerate(names))
+
+
+_ALONE = [*features.POST_FLOATS, *features.POST_INTS]
+_SCALED = "scaled AS (SELECT {keys}, feature, {value} AS value FROM {source} JOIN (SELECT feature, min(value) AS lo, max(value) AS hi, avg(value) AS m, stddev_pop(value) AS s FROM {source} GROUP BY 1) USING (feature))"
+_WHOLE = [*features.CONVO_FLOATS, *features.CONVO_INTS]
+_USER = [*features.USER_INTS, *features.USER_FLOATS]
+_ACROSS = [*features.ACROSS_INTS, *features.ACROSS_FLOATS]
+_POST_KEYS = "convo_id, uid"
+named(
+    "post_vectors",
+    query(
+        _slots_sql("scaled", _POST_KEYS, _ALONE, _flag_slots(["is_source"], _POST_KEYS, len(_ALONE))), *_PARTS,
+        _SCALED.format(keys=_POST_KEYS, source="post_numbers", value="(value - lo) / CASE WHEN hi = lo THEN 1.0 ELSE hi - lo END"),
+    ),
+)(lambda spark, sf: _slots(vectorize.PostVectorizer("minmax", in_convo=False).fit_transform(conversation_posts(spark, sf)), ["convo_id", "uid"], _ALONE))
+named(
+    "post_in_convo_vectors",
+    query(
+        _slots_sql("scaled", _POST_KEYS, features.CONVO_POST_NUMBERS, _flag_slots(features.CONVO_POST_BOOLS, _POST_KEYS, len(features.CONVO_POST_NUMBERS))), *_PARTS,
+        _SCALED.format(keys=_POST_KEYS, source="post_numbers", value="(value - m) / CASE WHEN s = 0 THEN 1.0 ELSE s END"),
+    ),
+)(lambda spark, sf: _slots(vectorize.PostVectorizer("standard").fit_transform(conversation_posts(spark, sf)), ["convo_id", "uid"], features.CONVO_POST_NUMBERS))
+named(
+    "user_vectors",
+    query(_slots_sql("user_numbers", "convo_id, author", _USER, _flag_slots(["is_source_author"], "convo_id, author", len(_USER), "(SELECT convo_id, author, bool_or(is_author_source_author) AS is_source_author FROM marks GROUP BY 1, 2)")), *_PARTS, USER_NUMBERS),
+)(lambda spark, sf: _slots(vectorize.UserVectorizer().fit_transform(conversation_posts(spark, sf)), ["convo_id", "author"], _USER))
+named(
+    "user_across_vectors",
+    query(
+        _slots_sql("scaled", "author", _ACROSS), *_PARTS, USER_NUMBERS, ACROSS_NUMBERS, _SCALED.format(keys="author", source="across_numbers", value="(value - m) / CASE WHEN hi = lo THEN 1.0 ELSE hi - lo END")
+    ),
+)(lambda spark, sf: _slots(vectorize.UserVectorizer("mean", across=True).fit_transform(conversation_posts(spark, sf)), ["author"], _ACROSS))
+named("conversation_vectors", query(_slots_sql("convo_numbers", "convo_id", _WHOLE), *_PARTS, USER_NUMBERS, CONVO_NUMBERS))(
+    lambda spark, sf: _slots(vectorize.ConversationVectorizer().fit_transform(conversation_posts(spark, sf)), ["convo_id"], _WHOLE)
+)
+named("conversation_vectors_standard")(lambda spark, sf: vectorize.ConversationVectorizer("standard").fit_transform(conversation_posts(spark, sf)))
+
+
+def _unfitted(df: DataFrame) -> DataFrame:
+    for k in features.MIXING:
+        df = df.where(F.col("feature").endswith("token_entropy") | ~(F.col("feature").endswith(f"_{k}") | (F.col("feature") == k)))
+    return df.withColumn("value", F.round("value", 6) + 0.0)
+
+
+def _statistics(source: str, keys: str, prefix: str, *parts: str) -> str:
+    return query(f"SELECT {keys + ', ' if keys else ''}feature, round(value, 6) + 0.0 AS value FROM ({_five(source, keys, prefix, True)})", *_PARTS, *parts)
+
+
+named("convo_stats", _statistics("convo_numbers", "", "convo", USER_NUMBERS, CONVO_NUMBERS))(lambda spark, sf: _unfitted(features.convo_stats(conversation_posts(spark, sf))))
+named("user_stats_across", _statistics("user_numbers", "author", "user", USER_NUMBERS))(lambda spark, sf: _unfitted(features.user_stats_across(conversation_posts(spark, sf))))
+named("user_stats_all", _statistics("user_numbers", "convo_id", "user", USER_NUMBERS))(
+    lambda spark, sf: _unfitted(stats.five_stats(features.user_numbers(conversation_posts(spark, sf)).select("convo_id", "feature", "value"), ["convo_id"], "user", guard=True))
+)
+named("post_stats_all", query(f"SELECT convo_id, feature, round(value, 6) + 0.0 AS value FROM ({_five('post_numbers', 'convo_id', 'post', False)})", *_PARTS))(
+    lambda spark, sf: _unfitted(features.post_stats(features.shared_features(conversation_posts(spark, sf)), ["convo_id"]))
+)
+named(
+    "assembled_vectors",
+    query(
+        "SELECT p.convo_id, p.uid, CAST(part AS INTEGER) AS part, round(total, 4) AS total FROM (SELECT convo_id, uid, author FROM posts) p JOIN ("
+        "SELECT convo_id, uid, NULL AS author, 0 AS part, total FROM (SELECT convo_id, uid, sum(value) AS total FROM (" + _slots_sql("post_numbers", _POST_KEYS, _ALONE, _flag_slots(["is_source"], _POST_KEYS, len(_ALONE))) + ") GROUP BY 1, 2) "
+        "UNION ALL SELECT convo_id, NULL, NULL, 1, sum(value) FROM (" + _slots_sql("convo_numbers", "convo_id", _WHOLE) + ") GROUP BY 1 "
+        "UNION ALL SELECT NULL, NULL, author, 2, sum(value) FROM (" + _slots_sql("across_numbers", "author", _ACROSS) + ") GROUP BY author) v "
+        "ON coalesce(v.convo_id = p.convo_id, true) AND coalesce(v.uid = p.uid, true) AND coalesce(v.author = p.author, true)",
+        *_PARTS, USER_NUMBERS, CONVO_NUMBERS, ACROSS_NUMBERS,
+    ),
+)(lambda spark, sf: _assembled(spark, sf))
+
+
+def _assembled(spark, sf):
+    """Every post's vector with its conversation's and its author's, and the sums of the three parts but for the mixing fit."""
+    posts = conversation_posts(spark, sf)
+    made = [v.fit_transform(posts) for v in (vectorize.PostVectorizer(in_convo=False), vectorize.ConversationVectorizer(), vectorize.UserVectorizer(across=True))]
+    whole = vectorize.assemble(posts, *made)
+    order = [*_ALONE, "is_source", *_WHOLE, *_ACROSS]
+    slots = _slots(whole, ["convo_id", "uid"], order)
+    part = F.when(F.col("slot") <= len(_ALONE), 0).when(F.col("slot") <= len(_ALONE) + len(_WHOLE), 1).otherwise(2)
+    return slots.groupBy("convo_id", "uid", part.alias("part")).agg(F.round(F.sum("value"), 4).alias("total"))
 
 
 # -- corpus metrics
@@ -504,7 +702,7 @@ named(
     query(
         "SELECT grp, posts, coalesce(conversations, 0) AS conversations, first, last, round((last - first) / 31536000.0, 9) AS years FROM "
         f"(SELECT grp, count(*) AS posts, CAST(min(sec) AS BIGINT) AS first, CAST(max(sec) AS BIGINT) AS last FROM (SELECT sec, {GROUPS} FROM posts) GROUP BY 1) "
-        f"LEFT JOIN (SELECT grp, count(*) AS conversations FROM (SELECT {GROUPS} FROM (SELECT convo_id, any_value(lang) AS lang FROM posts GROUP BY 1 HAVING count(*) > 1)) GROUP BY 1) USING (grp)"
+        f"LEFT JOIN (SELECT grp, count(*) AS conversations FROM (SELECT {GROUPS} FROM (SELECT convo_id, arg_min(lang, seq) AS lang FROM posts GROUP BY 1 HAVING count(*) > 1)) GROUP BY 1) USING (grp)"
     ),
 )(lambda spark, sf: metrics.sizes(conversation_posts(spark, sf)))
 named("language_distribution", f"WITH {DOCS} SELECT lang, count(*) AS n, count(*) / (SELECT count(*) FROM docs) AS share FROM docs GROUP BY 1 HAVING count(*) > 0.005 * (SELECT count(*) FROM docs)")(
@@ -584,3 +782,36 @@ named(
         "trees AS (SELECT convo_id, max(depth) AS tree_depth, max(w) AS tree_width FROM (SELECT convo_id, depth, count(*) OVER (PARTITION BY convo_id, depth) AS w FROM depths) GROUP BY 1)",
     ),
 )(lambda spark, sf: metrics.convo_graph_histograms(conversation_posts(spark, sf)))
+
+
+# -- raw files: written from the conversations, then read
+
+
+def _read_back(df: DataFrame, *more: str) -> DataFrame:
+    join = lambda c: F.array_join(F.array_sort(c), ",").alias(c)
+    return df.select("convo_id", "uid", "text", "author", F.unix_seconds("created_at").alias("sec"), join("reply_to"), "platform", join("tags"), "lang", *more)
+
+
+def _raw_sql(platform: str, author: str = "author", reply: str = "to_", tags: str = "''", lang: str = "NULL", more: str = "", text_: str = "trim(text, ' ')", shift: int = 0) -> str:
+    """The posts as a reader must give them; a conversation is named by its first turn, which nothing is above."""
+    return query(
+        f"SELECT 'CONV_' || (CAST(first_ AS BIGINT) + {shift}) AS convo_id, CAST(CAST(uid AS BIGINT) + {shift} AS VARCHAR) AS uid, {text_} AS text, {author} AS author, CAST(sec AS BIGINT) AS sec, {reply} AS reply_to, '{platform}' AS platform, {tags} AS tags, CAST({lang} AS VARCHAR) AS lang{more} "
+        "FROM (SELECT *, array_to_string(reply_to, ',') AS to_, CAST(convo_id AS BIGINT) AS conv, CAST(CAST(convo_id AS BIGINT) * 1000 AS VARCHAR) AS first_ FROM posts)",
+        rich=False,
+    )
+
+
+_UNIVERSAL = query("SELECT 'CONV_' || CAST(CAST(convo_id AS BIGINT) * 1000 AS VARCHAR) AS convo_id, uid, text, author, CAST(sec AS BIGINT) AS sec, array_to_string(reply_to, ',') AS reply_to, platform, 'role=' || author AS tags, lang FROM posts")
+_FILES: dict[str, tuple[str, tuple[str, ...]]] = {
+    "universal": (_UNIVERSAL, ()),
+    "tweets": (_raw_sql("Twitter", lang="'und'"), ()),
+    "converted": (_raw_sql("Twitter", lang="'und'"), ()),
+    "tweet_threads": (_raw_sql("Twitter", lang="'und'", more=", 'topic' || (conv % 3) AS source"), ("source",)),
+    "chan": (_raw_sql("4chan", shift=samples.SHIFT, reply=f"CASE WHEN seq > 0 THEN CAST(CAST(to_ AS BIGINT) + {samples.SHIFT} AS VARCHAR) ELSE '' END", more=", '0' || (conv % 4) AS chunk"), ("chunk",)),
+    "reddit": (_raw_sql("Reddit"), ()),
+    "reddit_flat": (_raw_sql("Reddit", tags="'board=b' || (conv % 3)", text_="CASE WHEN seq = 0 THEN ' ' || trim(text, ' ') ELSE trim(text, ' ') END"), ()),
+    "ad_hominem": (_raw_sql("Reddit", tags="CASE WHEN seq % 3 = 2 THEN 'AH=1' ELSE 'AH=0' END"), ()),
+    "facebook": (_raw_sql("Facebook", author="CASE WHEN seq > 0 THEN author END", reply="CASE WHEN seq > 0 THEN first_ ELSE '' END", tags="CASE WHEN seq = 0 THEN 'type=status' ELSE '' END", more=", 'page' || (conv % 5) AS page"), ("page",)),
+}
+for _name, (_sql, _more) in _FILES.items():
+    named(f"read_{_name}" if _name != "converted" else "convert", _sql)(lambda spark, sf, n=_name, m=_more: _read_back(samples.SAMPLES[n](spark, sf), *m))

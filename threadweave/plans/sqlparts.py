@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 from threadweave.functions.text import WORD_PATTERN
-from threadweave.sources.adapters import START
+from threadweave.sources.adapters import LANGS, PLACES, START, TAILS
 
 WORDS = WORD_PATTERN.replace("'", "''")
 
 
-def posts(shape: str = "tree", timed: bool = True) -> str:
+def _choose(values: tuple[str, ...], n: str) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + f"][({n}) % {len(values)} + 1]"
+
+
+def posts(shape: str = "tree", timed: bool = True, rich: bool = True) -> str:
     last, half = "CAST(conv_id * 1000 + turn - 1 AS VARCHAR)", "CAST(conv_id * 1000 + (turn - 1) // 2 AS VARCHAR)"
     targets = {"chain": f"[{last}]", "tree": f"[{half}]", "dag": f"list_distinct([{last}, {half}])", "external": f"[{half}]"}[shape]
     first = "CASE WHEN conv_id % 2 = 0 THEN ['missing'] ELSE [] END" if shape == "external" else "[]"
     at = f"{START} + conv_id * 86400 + turn * 60 + (turn * turn * 7) % 50" if timed else "CAST(NULL AS BIGINT)"
+    words = f"text || {_choose(TAILS, 'turn')}" if rich else "text"
+    lang, platform = (_choose(LANGS, "conv_id * 3 + turn // 2"), _choose(PLACES, "conv_id")) if rich else ("'und'", "'Twitter'")
     return (
-        f"posts AS (SELECT CAST(conv_id AS VARCHAR) AS convo_id, turn AS seq, CAST(conv_id * 1000 + turn AS VARCHAR) AS uid, text, role AS author, {at} AS sec, "
-        f"CASE WHEN turn > 0 THEN {targets} ELSE {first} END AS reply_to, 'und' AS lang FROM conversations)"
+        f"posts AS (SELECT CAST(conv_id AS VARCHAR) AS convo_id, turn AS seq, CAST(conv_id * 1000 + turn AS VARCHAR) AS uid, {words} AS text, role AS author, {at} AS sec, "
+        f"CASE WHEN turn > 0 THEN {targets} ELSE {first} END AS reply_to, {lang} AS lang, {platform} AS platform FROM conversations)"
     )
 
 
@@ -39,7 +45,7 @@ DEGREE = (
 TOKENS = f"tok AS (SELECT convo_id, uid, author, lang, unnest(regexp_extract_all(text, '{WORDS}')) AS token FROM posts)"
 
 
-def query(body: str, *parts: str, shape: str = "tree", timed: bool = True) -> str:
+def query(body: str, *parts: str, shape: str = "tree", timed: bool = True, rich: bool = True) -> str:
     """A WITH query over the posts of a shape."""
     recursive = "RECURSIVE " if any(p in (ABOVE, DEPTH) for p in parts) else ""
-    return f"WITH {recursive}{', '.join([posts(shape, timed), *parts])} {body}"
+    return f"WITH {recursive}{', '.join([posts(shape, timed, rich), *parts])} {body}"

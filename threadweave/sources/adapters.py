@@ -9,11 +9,15 @@ from threadweave.schema import COLUMNS
 from threadweave.session import table
 
 SHAPES = ("chain", "tree", "dag", "external")
+LANGS = ("en", "und", "fr", "de")  #: of posts, by conversation and turn
+PLACES = ("Twitter", "Reddit", "4chan", "Facebook")  #: of conversations
+#: What stands after a turn's text: tags, links, names and pictures of all kinds.
+TAILS = ("", " #Topic see https://ex.org/a?b=1 by @user_1 or u/reader", " \U0001f60f\U0001f44d\U0001f3fd #two #three /u/some-one >>12", " https://ex.com/x. >>7 >>8 \u2764\ufe0f \U0001f1eb\U0001f1f7 @ab, @cd")
 START = 1_704_067_200
 
 
-def conversation_posts(spark: SparkSession, sf_dir: str, shape: str = "tree", timed: bool = True) -> DataFrame:
-    """Turns as posts; ``shape`` says what turn t replies to.
+def conversation_posts(spark: SparkSession, sf_dir: str, shape: str = "tree", timed: bool = True, rich: bool = True) -> DataFrame:
+    """Turns as posts; ``shape`` says what turn t replies to, ``rich`` varies languages and platforms and adds ``TAILS`` to the texts.
 
     chain: t-1; tree: (t-1) div 2; dag: both; external: as tree, and turn 0 of conversations with
     an even number replies to a post that isn't there. Times are a day per conversation and uneven minutes per turn.
@@ -25,10 +29,13 @@ def conversation_posts(spark: SparkSession, sf_dir: str, shape: str = "tree", ti
     none = F.array().cast("array<string>")
     reply = F.when(turn > 0, targets).otherwise(F.when(F.col("conv_id") % 2 == 0, F.array(F.lit("missing"))).otherwise(none) if shape == "external" else none)
     at = F.timestamp_seconds(F.lit(START) + F.col("conv_id") * 86_400 + turn * 60 + (turn * turn * 7) % 50)
+    choose = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.pmod(n, F.lit(len(values))) + 1).cast("int"))
+    words = F.concat("text", choose(TAILS, turn)) if rich else F.col("text")
+    lang, platform = (choose(LANGS, F.col("conv_id") * 3 + F.floor(turn / 2)), choose(PLACES, F.col("conv_id"))) if rich else (F.lit("und"), F.lit("Twitter"))
     posts = table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").cast("string").alias("convo_id"), turn.alias("seq"), uid(turn).alias("uid"), "text", F.col("role").alias("author"),
-        (at if timed else F.lit(None).cast("timestamp")).alias("created_at"), reply.alias("reply_to"), F.lit("Twitter").alias("platform"),
-        F.array(F.concat(F.lit("role="), "role")).alias("tags"), F.lit("und").alias("lang"),
+        F.col("conv_id").cast("string").alias("convo_id"), turn.alias("seq"), uid(turn).alias("uid"), words.alias("text"), F.col("role").alias("author"),
+        (at if timed else F.lit(None).cast("timestamp")).alias("created_at"), reply.alias("reply_to"), platform.alias("platform"),
+        F.array(F.concat(F.lit("role="), "role")).alias("tags"), lang.alias("lang"),
     )
     return posts.select(*COLUMNS)
 
