@@ -143,7 +143,7 @@ def convo_numbers(posts: DataFrame, features: DataFrame | None = None) -> DataFr
     key = ["convo_id"]
     wide = posts.groupBy("convo_id").agg(F.count(F.lit(1)).alias("messages"), F.count_distinct(F.coalesce(F.concat(F.lit("a"), F.col("author")), F.lit("0"))).alias("users"))
     types = type_frequencies(posts, ("convo_id",)).groupBy("convo_id").agg(F.count(F.lit(1)).alias("types"))
-    for part in (graph.tree_metrics(posts), mixing_features(posts, ("convo_id",)), timing.duration(posts), graph.density(posts), summed_bools(features, key), summed_ints(features, key)):
+    for part in (graph.tree_metrics(posts, features), mixing_features(posts, ("convo_id",)), timing.duration(posts), graph.density(posts), summed_bools(features, key), summed_ints(features, key)):
         wide = wide.join(part, "convo_id")
     wide = wide.join(types, "convo_id", "left").withColumn("types", F.coalesce("types", F.lit(0)))
     numbers = stats.to_long(wide, key, [*MIXING, "duration", "density", *CONVO_INTS])

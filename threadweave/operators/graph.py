@@ -198,10 +198,10 @@ def depth_distribution(posts: DataFrame) -> DataFrame:
     return depths(posts).groupBy("convo_id", "depth").agg(F.count(F.lit(1)).alias("n"))
 
 
-def tree_metrics(posts: DataFrame) -> DataFrame:
-    """``(convo_id, tree_depth, tree_width, tree_degree)``: greatest depth, level size and degree."""
-    level = widths(depths(posts)).groupBy("convo_id").agg(F.max("depth").alias("tree_depth"), F.max("width").alias("tree_width"))
-    return level.join(degrees(posts).groupBy("convo_id").agg(F.max("true_degree").alias("tree_degree")), "convo_id")
+def tree_metrics(posts: DataFrame, place: DataFrame | None = None) -> DataFrame:
+    """``(convo_id, tree_depth, tree_width, tree_degree)``: greatest depth, level size and degree. ``place``: what ``structure`` gives, if it is there already."""
+    level = structure(posts) if place is None else place
+    return level.groupBy("convo_id").agg(F.max("depth").alias("tree_depth"), F.max("width").alias("tree_width"), F.max("true_degree").alias("tree_degree"))
 
 
 def degree_distribution(posts: DataFrame, kind: str = "true_degree") -> DataFrame:
@@ -227,13 +227,7 @@ def flags(posts: DataFrame) -> DataFrame:
     """``(convo_id, uid, is_source, is_leaf, is_internal, is_author_source_author)``.
 
     Here a source is a post without any reply target, also outside ones."""
-    d = degrees(posts).join(posts.select(*KEY, "author"), KEY)
-    s = source_authors(posts).select(F.col("convo_id").alias("_c"), F.col("author").alias("_a"))
-    mine = d.join(s, (F.col("convo_id") == F.col("_c")) & F.col("author").eqNullSafe(F.col("_a")), "left")
-    return mine.select(
-        *KEY, (F.col("out_degree") == 0).alias("is_source"), (F.col("in_degree") == 0).alias("is_leaf"),
-        ((F.col("in_degree") != 0) & (F.col("out_degree") != 0)).alias("is_internal"), F.col("_c").isNotNull().alias("is_author_source_author"),
-    )
+    return structure(posts).select(*KEY, "is_source", "is_leaf", "is_internal", "is_author_source_author")
 
 
 def numeric_first(uid: Column) -> Column:

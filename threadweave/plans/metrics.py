@@ -70,13 +70,6 @@ def creation_histogram(posts: DataFrame, unit: str = "day", year: int | None = N
     return grouped(own).groupBy("grp", "at").agg(F.sum("n").alias("n"))
 
 
-def text_lengths(posts: DataFrame) -> DataFrame:
-    """``(grp, chars, tokens, types)`` of every post that isn't blank, in each of its groups."""
-    tokens = partition_tokens(F.col("text"))
-    measured = posts.where(F.trim("text") != "").withColumn("_t", tokens)
-    return grouped(measured).select("grp", F.length("text").alias("chars"), F.size("_t").alias("tokens"), F.size(F.array_distinct("_t")).alias("types"))
-
-
 def text_histograms(posts: DataFrame) -> DataFrame:
     """``(grp, measure, value, n)`` for characters, tokens and types of posts, and the pair tokens-types. Counted per language first, then summed over groups."""
     measured = posts.where(F.trim("text") != "").withColumn("_t", partition_tokens(F.col("text")))
@@ -102,13 +95,22 @@ def text_totals(posts: DataFrame, cased: bool = True) -> DataFrame:
 
 
 def describe(posts: DataFrame) -> DataFrame:
-    """``(grp, measure, n, mean, std, least, p25, p50, p75, most)`` of characters, tokens and types of posts."""
-    long = text_lengths(posts).select("grp", F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("v")) for m in ("chars", "tokens", "types")])))
-    at = lambda q: F.percentile("v", q)
-    return long.groupBy("grp", "measure").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 9).alias("mean"), F.round(F.stddev_samp("v"), 6).alias("std"), F.min("v").alias("least"),
-        at(0.25).alias("p25"), at(0.5).alias("p50"), at(0.75).alias("p75"), F.max("v").alias("most"),
+    """``(grp, measure, n, mean, std, least, p25, p50, p75, most)`` of characters, tokens and types of posts that aren't blank. Values are counted per language first, so no group's posts meet."""
+    measured = posts.where(F.trim("text") != "").withColumn("_t", partition_tokens(F.col("text")))
+    wide = measured.select("lang", F.length("text").alias("chars"), F.size("_t").alias("tokens"), F.size(F.array_distinct("_t")).alias("types"))
+    pairs = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in ("chars", "tokens", "types")])
+    own = wide.select("lang", F.inline(pairs)).groupBy("lang", "measure", "v").agg(F.count(F.lit(1)).alias("n"))
+    v, n = F.col("v").cast("decimal(12,0)"), F.col("n").cast("decimal(14,0)")
+    at = lambda q: F.percentile("v", q, F.col("n"))
+    made = grouped(own).groupBy("grp", "measure").agg(
+        F.sum("n").alias("n"), F.sum(v * n).alias("s1"), F.sum(v * v * n).alias("s2"), F.min("v").cast("double").alias("least"),
+        at(0.25).alias("p25"), at(0.5).alias("p50"), at(0.75).alias("p75"), F.max("v").cast("double").alias("most"),
     )
+    mean = F.col("s1").cast("double") / F.col("n")
+    # the squares about the mean, from whole numbers
+    squares = (F.col("s2").cast("double") - F.col("s1").cast("double") * mean)
+    std = F.when(F.col("n") > 1, F.sqrt(F.greatest(squares, F.lit(0.0)) / (F.col("n") - 1)))
+    return made.select("grp", "measure", "n", F.round(mean, 9).alias("mean"), F.round(std, 6).alias("std"), "least", "p25", "p50", "p75", "most")
 
 
 def rank_frequency(posts: DataFrame) -> DataFrame:
