@@ -313,10 +313,42 @@ def test_run_equals_the_stages(spark, stages):
 def test_stages_on_odd_documents(spark, stages):
     root = stages[0]
     shape = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", None, None, 0), (2, None, "en", None, None), (3, "a", "en", "s", 1), (3, "a", "en", "s", 1), (3, "b", "en", "s", 1)], shape)
-    for docs in (odd, odd.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            docs = stage(spark, docs, root)
-        docs.collect()
-    names = (minmax.near_groups, packing.harmonic_pack, pii.pseudonymise_docs)
-    assert all(f(odd.limit(0)).count() == 0 for f in names)
+    rows = [(None, None, None, None, None), (1, "", None, None, 0), (2, None, "en", None, None), (3, "a", "en", "s", 1), (3, "a", "en", "s", 1), (3, "b", "en", "s", 1)]
+    odd = spark.createDataFrame(rows, shape)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), root).count() == 0, name
+    some = dict(corpus_pipeline.STAGES)
+    assert {(r["doc_id"], r["text"]) for r in some["quality"](spark, odd, root).collect()} <= {(3, "a"), (3, "b")}  # null and empty texts have no quality
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(some["near_duplicates"](spark, odd, root).collect(), key=key) == sorted(set(odd.collect()), key=key)
+    for name in ("repeats", "personal_data"):
+        got = some[name](spark, odd, root).select("doc_id", "text").collect()
+        assert sorted(got, key=key) == sorted(odd.select("doc_id", "text").collect(), key=key), name
+    assert sorted((r["doc_id"], r["text"], r["length"]) for r in some["packing"](spark, odd, root).collect()) == [(3, "a", 1), (3, "a", 1), (3, "b", 1)]
+
+
+def test_stages_with_clashing_columns_and_long_texts(spark, stages):
+    root, rng = stages[0], random.Random(6)
+    passage = prose(rng, 80)
+    texts = [f"{prose(rng, 30_000)} {passage}", f"{passage} {prose(rng, 50)}", prose(rng, 60)]
+    columns = {c: F.lit(7) for c in ("key", "cut", "_key", "_text", "start", "sig", "rep", "piece", "e", "p_best", "x", "shard", "band")}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumns(columns)
+    some = dict(corpus_pipeline.STAGES)
+    for name in ("near_duplicates", "repeats", "personal_data"):
+        got = some[name](spark, docs, root)
+        assert got.columns == docs.columns, name
+        rows = got.collect()
+        assert len(rows) == 3 and all(r[c] == 7 for r in rows for c in columns), name
+        if name == "repeats":
+            kept = {r["doc_id"]: r["text"] for r in rows}
+            assert kept[0] == texts[0] and passage not in kept[1] and kept[1].split() == texts[1].split()[80:]
+    pieces = sorted(some["packing"](spark, docs, root).collect(), key=lambda r: (r["doc_id"], r["piece"]))
+    assert all(r["length"] <= packing.CAPACITY for r in pieces)
+    assert ["".join(r["text"] for r in pieces if r["doc_id"] == i) for i in range(3)] == texts
+
+
+def test_run_works_every_stage_once(spark, stages, monkeypatch):
+    """What ``run`` returns reads cut lineage: no function of an earlier stage is in its plan."""
+    made = corpus_pipeline.run(spark, stages[0])
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "MapInArrow" not in plan and "Relation" not in plan
