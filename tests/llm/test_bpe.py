@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from threadweave.llm import bpe, wordhash
+from threadweave.llm import bpe, queries, wordhash
 
 
 @pytest.fixture(scope="module")
@@ -116,3 +116,20 @@ def test_documents(spark, sf):
     corpus = spark.read.parquet(f"{sf}/documents.parquet")
     whole = bpe.decode_documents(bpe.encode_documents(corpus))
     assert whole.where("decoded = text").count() == corpus.count()
+
+
+def test_decoding_in_the_same_step(spark, sf):
+    rows = [(1, "Hello's  world\n"), (2, None), (3, ""), (4, "漢字 é" * 30_000), (5, "\ufffd \x00")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"decoded": F.lit("old"), "again": F.lit(5)})
+    got = bpe.encode_documents(docs, decoded="decoded")
+    assert got.columns == ["doc_id", "text", "again", "tokens", "decoded"]
+    apart = bpe.decode_documents(bpe.encode_documents(docs.drop("decoded")))
+    assert sorted(got.collect()) == sorted(apart.collect())
+    assert {r["doc_id"]: r["decoded"] for r in got.collect()} == dict(rows)
+    query = queries.op2_bpe(spark, sf)
+    plan = query._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan  # a worker and a table for every task, and not two
+    assert bpe.shipped_table(spark.sparkContext, bpe.TOKENIZER) is bpe.shipped_table(spark.sparkContext, bpe.TOKENIZER)
+    corpus = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    whole = bpe.decode_documents(bpe.encode_documents(corpus)).select("doc_id", F.size("tokens"), "tokens", F.col("decoded") == F.col("text"))
+    assert sorted(query.collect()) == sorted(whole.collect())

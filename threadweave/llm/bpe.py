@@ -13,6 +13,8 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -188,6 +190,11 @@ class Table:
         done = np.concatenate([[0], np.cumsum(n)])
         return self.text[np.repeat(self.begin[ids] - done[:-1], n) + np.arange(done[-1])].tobytes()
 
+    def texts(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """What the paths of several rows emit; ``ends``: offsets of the rows in ``ids``. Bytes that are no UTF-8 are replaced."""
+        raw, at = self.decode(ids), np.concatenate([[0], np.cumsum(self.size[ids])])[ends].tolist()
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:])]
+
 
 class MergeAutomaton:
     """Builds the deterministic automaton over tokens that accepts exactly the correct tokenizations.
@@ -419,6 +426,12 @@ def compiled(tokenizer: str) -> Table:
     return MergeAutomaton(*vocabulary(open(tokenizer, encoding="utf-8").read())).table()
 
 
+@lru_cache(2)
+def shipped_table(context: SparkContext, tokenizer: str) -> Broadcast:
+    """That table as one broadcast for all queries of an application: a worker that has it doesn't load it again beside the old one."""
+    return context.broadcast(compiled(tokenizer))
+
+
 _encoders: dict[int, Encoder] = {}
 
 
@@ -430,19 +443,21 @@ def _encoder(table: Table) -> Encoder:
     return _encoders[id(table)]
 
 
-def encode_documents(docs: DataFrame, text_col: str = "text", out: str = "tokens", tokenizer: str = TOKENIZER) -> DataFrame:
-    """``docs`` with a column ``out`` of token ids.
+def encode_documents(docs: DataFrame, text_col: str = "text", out: str = "tokens", tokenizer: str = TOKENIZER, decoded: str | None = None) -> DataFrame:
+    """``docs`` with a column ``out`` of token ids, and where ``decoded`` names one, a column of what :func:`decode_documents` makes of these.
 
     ``tokenizer`` is the path of a byte-level vocabulary (JSON with merges); the driver compiles it to a
     table of fixed size (20 MB for 50,000 merges) and ships that. Texts are split into words as such vocabularies are
     made (contractions; letters, numbers or other marks with one space before; white space), and
     every word goes through the automaton; special tokens' strings are ordinary text. Equal words
-    of a batch are encoded once; they are found by hashes and compared byte by byte.
+    of a batch are encoded once; they are found by hashes and compared byte by byte. ``decoded`` is made
+    in the same step, from the tokens alone and half a megabyte of text at a time, so a task has one worker and one table.
 
     Null texts give null, empty texts no tokens; texts may have any length. One row per row of
-    ``docs``, in a narrow step; a column called as ``out`` is replaced, all others stay.
+    ``docs``, in a narrow step; columns called as ``out`` or ``decoded`` are replaced, all others stay.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(compiled(tokenizer))
+    shipped = shipped_table(docs.sparkSession.sparkContext, tokenizer)
+    made = [out] if decoded is None else [out, decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shipped.value)
@@ -453,13 +468,17 @@ def encode_documents(docs: DataFrame, text_col: str = "text", out: str = "tokens
                 held = batch.slice(lo, hi - lo)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids), mask=held.column(place).is_null())
                 kept = [held.column(i) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*kept, lists], names=[*names, "made"])
+                if decoded is None:
+                    yield pa.RecordBatch.from_arrays([*kept, lists], names=[*names, "made"])
+                else:
+                    texts = pa.array(encoder.table.texts(ids, ends), pa.string(), mask=held.column(place).is_null().to_numpy(zero_copy_only=False))
+                    yield pa.RecordBatch.from_arrays([*kept, lists, texts], names=[*names, "made", "again"])
 
-    given = docs.drop(out)
+    given = docs.drop(*made)
     names, place = [f"c{i}" for i in range(len(given.columns))], given.columns.index(text_col)
     renamed = given.toDF(*names)
     kind = ", ".join(f"`{n}` {t}" for n, t in renamed.dtypes)
-    return renamed.mapInArrow(run, f"{kind}, made array<int>").toDF(*given.columns, out)
+    return renamed.mapInArrow(run, f"{kind}, made array<int>" + ", again string" * (decoded is not None)).toDF(*given.columns, *made)
 
 
 def decode_documents(docs: DataFrame, tokens_col: str = "tokens", out: str = "decoded", tokenizer: str = TOKENIZER) -> DataFrame:
@@ -468,7 +487,7 @@ def decode_documents(docs: DataFrame, tokens_col: str = "tokens", out: str = "de
     Null lists give null, empty lists empty texts; null ids within a list are left out, an id
     without a label raises. Bytes that are no UTF-8 are replaced by U+FFFD.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(compiled(tokenizer))
+    shipped = shipped_table(docs.sparkSession.sparkContext, tokenizer)
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -20,9 +20,8 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether decoding them gives its text again."""
-    coded = bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    decoded = bpe.decode_documents(coded)
-    return decoded.select("doc_id", F.size("tokens").alias("n_tokens"), "tokens", F.col("decoded").eqNullSafe(F.col("text")).alias("intact"))
+    coded = bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded")
+    return coded.select("doc_id", F.size("tokens").alias("n_tokens"), "tokens", F.col("decoded").eqNullSafe(F.col("text")).alias("intact"))
 
 
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
