@@ -5,7 +5,7 @@ import pytest
 from helpers import prose
 from pyspark.sql import functions as F
 
-from threadweave.llm import multiindex, topk
+from threadweave.llm import multiindex, queries, topk
 
 
 def brute_topk(docs, queries, k):
@@ -49,6 +49,64 @@ def test_topk_matches_brute_force(spark, block):
         assert [x[1] for x in got[key]] == pytest.approx([x[1] for x in want[key]], abs=2e-6)
 
 
+@pytest.mark.parametrize("text", [topk.TEXT, 300])
+def test_topk_of_documents_as_queries(spark, monkeypatch, text):
+    monkeypatch.setattr(topk, "TEXT", text)
+    rng = random.Random(4)
+    docs = [(i, prose(rng, rng.randint(1, 60))) for i in range(260)]
+    docs += [(i + 300, t) for i, t in docs[:60]] + [(650, "kar kar lor 漢字"), (700, None), (750, ""), (None, "kar"), (800, "unheard"), (-50, docs[7][1])]
+    queries = [(i, prose(rng, 8)) for i in range(5)] + [(50, "kar kar lor"), (51, None)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    q = spark.createDataFrame(queries, "item_id bigint, text string")
+    got = {}
+    for r in topk.top_k_of_both(d, q, k=5).orderBy("source", "query_id", "rank").collect():
+        got.setdefault((r["source"], r["query_id"]), []).append((r["doc_id"], r["score"]))
+    want = {("benchmark", i): x for i, x in brute_topk(docs, queries, 5).items()}
+    asked = [(i, t) for i, t in docs if i is not None and i % 50 == 0 and t]
+    for i, x in brute_topk(docs, asked, len(docs)).items():
+        if others := [y for y in x if y[0] != i][:5]:
+            want["documents", i] = others
+    assert set(got) == set(want)
+    assert ("documents", 0) in got and ("documents", 800) not in got
+    for key in want:
+        assert [x[0] for x in got[key]] == [x[0] for x in want[key]]
+        assert [x[1] for x in got[key]] == pytest.approx([x[1] for x in want[key]], abs=2e-6)
+
+
+@pytest.mark.parametrize("settings", [{}, {"TILE": 3, "CELLS": 400}, {"SHARED": 2.0}, {"SHARED": 0.0}, {"SHARED": 0.05, "DENSE": 900}])
+def test_scores_by_products_and_one_by_one(monkeypatch, settings):
+    import pyarrow as pa
+
+    for name, value in settings.items():
+        monkeypatch.setattr(topk, name, value)
+    rng = random.Random(5)
+    docs = [(i, prose(rng, rng.randint(1, 50))) for i in range(150)]
+    docs += [(i + 200, t) for i, t in docs[:90]] + [(500, "kar kar lor"), (600, "unheard")]
+    asked = [(i, t) for i, t in docs if i % 50 == 0] + [(3, "kar kar lor kar"), (4, "absent")]
+    own = np.array([i % 50 == 0 for i, _ in asked])
+    block = topk.block_of([i for i, _ in asked], [t for _, t in asked], own)
+    df, sizes = np.zeros(len(block.vocabulary)), []
+    for _, size, _, _, term, first in topk.postings(pa.array([t for _, t in docs]), block.vocabulary, topk.DENSE):
+        df[term] += np.diff(first)
+        sizes += size.tolist()
+    idf = np.log(1 + (len(docs) - df + 0.5) / (df + 0.5))
+    batches = [(pa.array([i for i, _ in docs[a : a + 100]]), pa.array([t for _, t in docs[a : a + 100]])) for a in range(0, len(docs), 100)]
+    scores, ids = topk.best_of(iter(batches), block, idf, np.mean(sizes), 7)
+    want = {i: [x for x in found if x[0] != i or i % 50][:7] for i, found in brute_topk(docs, asked, len(docs)).items()}
+    for (q, _), s, i in zip(asked, scores, ids):
+        expected = want.get(q, [])
+        assert i[s > 0].tolist() == [d for d, _ in expected]
+        assert s[s > 0].tolist() == pytest.approx([x for _, x in expected], abs=2e-6)
+
+
+def test_op4_asks_with_every_fiftieth_document(spark, sf):
+    got = queries.op4_topk(spark, sf)
+    docs, passages = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    wanted = {("documents", r[0]) for r in docs.where("doc_id % 50 = 0").select("doc_id").collect()} | {("benchmark", r[0]) for r in passages.select("item_id").collect()}
+    assert {(r[0], r[1]) for r in got.select("source", "query_id").distinct().collect()} == wanted
+    assert got.where("source = 'documents' and query_id = doc_id").count() == 0
+
+
 def test_topk_edges(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
     q = spark.createDataFrame([(1, "a")], "item_id bigint, text string")
