@@ -110,6 +110,28 @@ def test_facebook_files(spark, tmp_path):
     assert got["c"]["convo_id"] == got["1"]["convo_id"] == "CONV_1" and got["r"]["reply_to"] == ["2"]
 
 
+def test_facebook_files_are_read_once(spark, tmp_path):
+    """Also a folder of files without messages has a post, what lies deeper or higher is no file of a folder, and the result doesn't read the files again."""
+    for name, data in (("pg/1/post.json", "{}"), ("pg/1/comments.json", "[]"), ("pg/2/scrape.json", "x"), ("pg/3/post.json", json.dumps({"id": "3_3", "message": "m"})), ("pg/3/replies.json", json.dumps([{"id": "r", "message": "a", "replies": [{"id": "rr", "message": "b"}]}])), ("pg/odd.json", "{}"), ("pg/3/deep/odd.json", "{}")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(data)
+    posts = readers.read_facebook(spark, str(tmp_path) + "/")
+    got = {r["uid"]: (r["text"], r["reply_to"], r["convo_id"]) for r in posts.collect()}
+    assert got == {"1": ("[deleted]", [], "CONV_1"), "2": ("[deleted]", [], "CONV_2"), "3_3": ("m", [], "CONV_3_3"), "r": ("a", ["3_3"], "CONV_3_3"), "rr": ("b", ["r"], "CONV_3_3")}
+    plan = posts._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and "MapInPandas" not in plan
+
+
+def test_sample_files(spark, tmp_path):
+    from threadweave.sources import samples
+
+    rows = [(f"a/{i % 3}.json", f"v{i}") for i in range(20)] + [("b.json", "é")]
+    samples.write_files(spark.createDataFrame(rows, "name string, value string").repartition(5), str(tmp_path / "out"))
+    assert {str(f.relative_to(tmp_path / "out")): sorted(f.read_text().split()) for f in (tmp_path / "out").rglob("*") if f.is_file()} == {
+        **{f"a/{k}.json": sorted(f"v{i}" for i in range(20) if i % 3 == k) for k in range(3)}, "b.json": ["é"],
+    }
+
+
 def test_file_order_is_kept(spark, tmp_path):
     tweets = [{"id": 100 - i, "text": f"t{i}", "user": {"screen_name": f"u{i}"}, "in_reply_to_status_id": 100 if i else None} for i in range(8)]
     (tmp_path / "t.json").write_text("\n".join(map(json.dumps, tweets)))
