@@ -122,6 +122,35 @@ def test_facebook_files_are_read_once(spark, tmp_path):
     assert "FileScan" not in plan and "MapInPandas" not in plan
 
 
+def test_thread_files_are_followed_in_pieces(spark, tmp_path):
+    """Values come as they get whole, however the text is cut, and no more than one is held; what isn't whole raises."""
+    data = {"1": {"id": 1, "text": "a, {b} \"}"}, "2": {"id": 2, "text": "é" * 50}, "3": {"id": 12, "text": "x"}}
+    text = json.dumps(data, indent=1) + " {} \n" + json.dumps({"4": 5, "k": [1, 2]}) + "\n"
+    want = [*data.values(), 5, [1, 2]]
+    for n in (1, 2, 7, 1000):
+        members, got, most = raw.Members(), [], 0
+        for i in range(0, len(text), n):
+            got += members.feed(text[i : i + n])
+            most = max(most, len(members.text) - members.at)
+        assert got + list(members.feed("", True)) == want
+        assert n > 7 or most < 345
+    for bad in ('{"1": {"id": 1}', '{"1": ', "[1]", '{"1" 2}', '{"1": 2 3}', '{"1": 2,', '{"1": 2} x'):
+        with pytest.raises(ValueError):
+            members = raw.Members()
+            list(members.feed(bad)) + list(members.feed("", True))
+    for k in range(3):
+        tweets = {str(i): {"id": i, "text": f"t{i}, {{", "user": {"screen_name": "u"}, "in_reply_to_status_id": k if i > k else None} for i in range(k, 40)}
+        (tmp_path / f"s_k{k}-tweets.json").write_text(json.dumps(tweets, indent=2))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        posts = readers.read_tweet_threads(spark, f"{tmp_path}/s_")
+        rows = posts.where("source = 'k1'").orderBy("seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["text"] for r in rows] == [f"t{i}, {{" for i in range(1, 40)] and {r["convo_id"] for r in rows} == {"CONV_1"}
+    assert posts.count() == 40 + 39 + 38
+
+
 def test_sample_files(spark, tmp_path):
     from threadweave.sources import samples
 
