@@ -78,3 +78,48 @@ def test_word_pattern_for_java_gives_the_same(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for r in df.select(text.partition_tokens(df["t"]).alias("a"), text.matches(df["t"], text.WORD_PATTERN).alias("b")).collect():
         assert r["a"] == r["b"]
+
+
+def test_detector_equals_the_sums_by_gram(spark, monkeypatch):
+    """All texts at once give what adding up the n-grams of each gives, with tables or sorted lists, and whatever the letters."""
+    import random
+    from math import exp, log
+
+    import pandas as pd
+
+    rng = random.Random(5)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(1, 9)))
+    alphabets = {"a": "abcde é", "b": "abxyz ", "c": "\u4e00\u4e8c\U0001f600 a", "d": "ABÄ"}
+    rows = [(k, " ".join(word(v) for _ in range(6))) for k, v in alphabets.items() for _ in range(4)]
+    texts = [" ".join(word("".join(alphabets.values()) + "qß\uffff\U0001f601İ") for _ in range(rng.randint(1, 5))) for _ in range(60)] + ["", None, "q", "ab"]
+    for n in (2, 3, 5):
+        profiles = langdetect.profile(rows, n)
+        want = []
+        for t in texts:
+            if not t:
+                want.append(("und", 0.0))
+                continue
+            padded = f" {t.lower()} "
+            total = {k: sum(log((c[padded[i : i + n]] + 1) / (sum(c.values()) + len(c) + 1)) for i in range(len(padded) - n + 1)) for k, c in profiles.items()}
+            best = max(total, key=lambda k: (total[k], k))
+            want.append((best, 1 / sum(exp(min(0.0, v - total[best])) for v in total.values())))
+        for dense, chars in ((1 << 24, 1 << 20), (0, 50)):
+            monkeypatch.setattr(langdetect.Grams, "DENSE", dense)
+            monkeypatch.setattr(langdetect, "CHARS", chars)
+            got = pd.concat(langdetect.naive_bayes(profiles, n).func(iter([pd.Series(texts[:30]), pd.Series(texts[30:])])))
+            assert list(got["lang"]) == [w[0] for w in want]
+            assert list(got["certainty"]) == pytest.approx([w[1] for w in want])
+
+
+def test_tokens_per_language_are_counted_between_spaces(spark):
+    from collections import Counter
+
+    from threadweave.plans import metrics
+
+    texts = [("en", " a  b's, a-b "), ("en", "   "), ("en", ""), ("und", "é\u3000x\ny  "), (None, "a b"), ("fr", None), ("de", "ohne")]
+    df = spark.createDataFrame(texts, "lang string, text string")
+    found = df.select("lang", text.partition_tokens(F.col("text")).alias("t")).collect()
+    want = Counter((r["lang"], t) for r in found for t in r["t"] or [])
+    assert {(r["lang"], r["token"]): r["n"] for r in metrics.language_tokens(df).collect()} == dict(want)
+    plan = metrics.language_tokens(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("regexp_extract_all") < plan.index("split(text")  # what is taken apart is counted already
