@@ -98,3 +98,41 @@ def test_users_without_author(make):
     numbers = {(r["author"], r["feature"]): r["value"] for r in features.user_numbers(posts).collect()}
     assert numbers[None, "message_count"] == 1.0 and numbers[None, "types"] == 0.0
     assert len({f for a, f in numbers if a is None}) == 320
+
+
+def test_one_pass_makes_all_numbers(spark, sf):
+    """No row for a number on the way to vectors: one shuffle, one Python step."""
+    from threadweave.sources.adapters import conversation_posts
+
+    posts = conversation_posts(spark, sf)
+    for v in (vectorize.ConversationVectorizer(), vectorize.UserVectorizer()):
+        text = v.fit_transform(posts)._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange hashpartitioning") == 1 and text.count("MapInArrow") == 1 and "percentile" not in text
+    text = features.convo_stats(posts)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 2 and "percentile" not in text
+
+
+def test_fits_side_by_side():
+    import numpy as np
+
+    from threadweave.functions import harmonic
+
+    rng = random.Random(2)
+    vectors = [[], [1], [3], [1, 1], [5, 1], [1] * 50, [3] * 7, [1000, 1]] + [[int(rng.paretovariate(0.8)) for _ in range(rng.randint(1, 80))] for _ in range(200)]
+    want = np.array([list(harmonic.mixing_of(v).values()) for v in vectors])
+    assert np.allclose(harmonic.mixing_many(vectors), want, rtol=1e-9, atol=1e-12, equal_nan=True)
+    assert harmonic.mixing_many([]).shape == (0, 5)
+
+
+def test_statistics_of_columns(spark, monkeypatch):
+    nan = float("nan")
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), [rng.choice([rng.random(), 0.1]), 0.1, rng.choice([1.0, nan])]) for _ in range(97)] + [("c", [2.0, nan, 5.0])]
+    df = spark.createDataFrame(rows, "k string, v array<double>").repartition(3)
+    monkeypatch.setattr(stats, "PART", 4)
+    monkeypatch.setattr(stats, "WAITING", 10)
+    for key in ("k", None):
+        keys = [key] if key else []
+        want = {tuple(r)[:-1]: r["value"] for r in stats.five_stats(stats.named_values(df, keys, ["x", "y", "z"]), keys, "p", guard=True).collect()}
+        got = {tuple(r)[:-1]: r["value"] for r in stats.five_of_columns(df, ["x", "y", "z"], "p", key, guard=True).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12, nan_ok=True) for k in want)
